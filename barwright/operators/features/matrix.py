@@ -120,6 +120,9 @@ def feature_matrix(
     _require(bars, required_bar_columns(fc), "bars")
     if fc.market_context and (index_bars is None or proxy_daily is None):
         raise ValueError("market_context needs index_bars and proxy_daily")
+    if "entry_close" not in labels.columns:
+        closes = bars.select("symbol", F.col("ts").alias("entry_time"), F.col("close").alias("entry_close"))
+        labels = labels.join(closes, ["symbol", "entry_time"])
     fields = [c for c in LABEL_FIELDS if c in labels.columns]
     marks = labels.select("symbol", F.col("entry_time").alias("ts"), F.struct(*fields).alias("label"))
     marked = bars.join(marks, ["symbol", "ts"], "left")

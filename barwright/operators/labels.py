@@ -160,7 +160,7 @@ def horizon_table(slots: DataFrame, cfg: ExperimentConfig) -> DataFrame:
         "symbol",
         "session_date",
         F.col(vol_col).alias("sigma_ann_at_entry"),
-        reference_stat(vol_col, cfg.vol_ref_method).over(Window.partitionBy("symbol")).alias("sigma_ref"),
+        reference_stat(vol_col, cfg.vol_ref_method, Window.partitionBy("symbol")).alias("sigma_ref"),
         F.lead("first_pos", cfg.vertical_max_trading_days).over(by_rank).alias("vertical_pos"),
     )
 
@@ -209,6 +209,18 @@ def label_bars(bars: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     )
 
 
+def entry_geometry(bars: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+    """Barrier geometry of every bar with a known volatility, outcome unknown (for live scoring)."""
+    slots = slot_table(bars)
+    d = bars.join(horizon_table(slots, cfg), ["symbol", "session_date"]).where(
+        F.col("close").isNotNull() & F.col("sigma_ann_at_entry").isNotNull()
+    )
+    named = d.select(
+        "symbol", F.col("ts").alias("entry_time"), F.col("close").alias("entry_close"), "sigma_ann_at_entry", "sigma_ref"
+    )
+    return barrier_geometry(named, cfg).withColumn("barrier_outcome", F.lit(None).cast("string"))
+
+
 def label_issues(bars: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     """Symbols that cannot be labelled, and why (fewer than 3 bars, or no finite volatility)."""
     vol_col = f"vol_{cfg.vol_lookback_trading_days}d_ann"

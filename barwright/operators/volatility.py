@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barwright.functions.expr import ln_ratio, trailing
@@ -65,18 +65,22 @@ def add_volatility(bars: DataFrame, lookback: int) -> DataFrame:
     return bars.join(vol, ["symbol", "session_date"], "left")
 
 
-def reference_stat(vol_col: str, method: str = "median") -> Column:
-    """Median or mean over all *bars* with a finite volatility, as an aggregate on the session table.
+def reference_stat(vol_col: str, method: str = "median", over: WindowSpec | None = None) -> Column:
+    """Median or mean over all *bars* with a finite volatility, from the session table.
 
     All bars of a session share one value, so the bar-level statistic is the session-level one
-    weighted by the session's bar count; the bars themselves are not read again.
+    weighted by the session's bar count; the bars themselves are not read again. With `over` it
+    is a window expression, else an aggregate.
     """
-    v = F.col(vol_col)
-    n = F.when(v.isNotNull(), F.col("session_bars"))
+
+    def agg(c: Column) -> Column:
+        return c if over is None else c.over(over)
+
+    v, n = F.col(vol_col), F.col("session_bars")
     if method == "median":
-        return F.percentile(v, F.lit(0.5), F.col("session_bars"))
+        return agg(F.percentile(v, F.lit(0.5), n))
     if method == "mean":
-        return F.sum(v * n) / F.sum(n)
+        return agg(F.sum(v * n)) / agg(F.sum(F.when(v.isNotNull(), n)))
     raise ValueError(f"unknown sigma reference method {method!r}")
 
 
