@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from barwright.config import ExperimentConfig, FeatureConfig
 from barwright.operators.features import session, technical
-from barwright.operators.features.group import back
 from barwright.operators.features.market import with_market_context
 from barwright.operators.features.registry import feature_columns, groups, warmup_bars
-from barwright.operators.positions import drop_halo, slot_table, with_halo, with_positions
+from barwright.operators.positions import drop_halo, slot_table, with_halo, with_positions, with_prev_close
 
 BAR_COLUMNS = ("symbol", "ts", "session_date", "open", "high", "low", "close", "volume")
 LABEL_FIELDS = (
@@ -49,34 +48,38 @@ def required_bar_columns(fc: FeatureConfig) -> set[str]:
     return need
 
 
-def _with_bar_features(bars: DataFrame, fc: FeatureConfig, *carried: str) -> DataFrame:
-    """Bars with positions and every column the enabled groups' final stage reads."""
+def _complete(bars: DataFrame) -> DataFrame:
+    """Absent price columns as nulls and absent volume as 0, so any enabled group resolves."""
+    missing = {c: F.lit(None).cast("double") for c in ("open", "high", "low") if c not in bars.columns}
     if "volume" not in bars.columns:
-        bars = bars.withColumn("volume", F.lit(0.0))
-    for c in ("open", "high", "low"):
-        if c not in bars.columns:
-            bars = bars.withColumn(c, F.lit(None).cast("double"))
+        missing["volume"] = F.lit(0.0)
+    return bars.withColumns(missing) if missing else bars
+
+
+def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | None = None) -> DataFrame:
+    """Bars with positions and every column the enabled groups' final stage reads.
+
+    `marks` (symbol, ts, label) are attached to the bars; side tables are built from the bars
+    alone.
+    """
+    bars = _complete(bars)
     gs = groups(fc)
-    d = with_positions(bars, slot_table(bars), *session.SLOT_COLUMNS)
+    slots = slot_table(bars)
+    carried = (*session.SLOT_COLUMNS, "slot_prev_close")
+    marked = bars if marks is None else bars.join(marks, ["symbol", "ts"], "left")
+    d = with_positions(marked, slots, *carried)
     if fc.vwap_distance:
         d = session.with_session_vwap(d)
+    if fc.technical_indicators:
+        narrow = d if marks is None else with_positions(bars, slots, *carried)
+        d = technical.with_technical_columns(with_prev_close(d), with_prev_close(narrow), fc)
     base = {k: c for g in gs.values() for k, c in g.base.items()}
     frames = {k: c for g in gs.values() for k, c in g.frames.items()}
-    reach = max((g.reach for g in gs.values()), default=0)
-    if fc.technical_indicators:
-        move = F.col("close") - back("close", 1)
-        base |= {"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))}
-        first = F.col("pos") == 0
-        for c in ("_gain", "_loss"):
-            base[c] = F.when(~first, base[c])
-        reach = max(reach, 1)
     if base or frames:
-        d = with_halo(d, reach)
+        d = with_halo(d, max(g.reach for g in gs.values()))
         d = d.withColumns(base) if base else d
         d = d.withColumns(frames) if frames else d
         d = drop_halo(d)
-    if fc.technical_indicators:
-        d = technical.with_technical_columns(d, fc, ("_gain", "_loss"))
     return d
 
 
@@ -125,18 +128,22 @@ def feature_matrix(
         labels = labels.join(closes, ["symbol", "entry_time"])
     fields = [c for c in LABEL_FIELDS if c in labels.columns]
     marks = labels.select("symbol", F.col("entry_time").alias("ts"), F.struct(*fields).alias("label"))
-    marked = bars.join(marks, ["symbol", "ts"], "left")
-    d = _with_bar_features(marked, fc).where(F.col("label").isNotNull() & F.col("close").isNotNull())
+    d = _with_bar_features(bars, fc, marks).where(F.col("label").isNotNull() & F.col("close").isNotNull())
     d = d.where(F.col("pos") >= warmup_bars(fc)).select("*", "label.*").drop("label")
     if fc.market_context:
         d = with_market_context(d, index_bars, proxy_daily, fc)
     kept = [c for c in ("bars_forward",) if c in fields]
-    d = _project(
-        d.withColumnsRenamed({"ts": "entry_time", "pos": "entry_pos", "barrier_outcome": "y"})
-        .withColumn("ts", F.col("entry_time")),
-        fc, "symbol", "entry_time", "session_date", "entry_pos", *kept, "y",
+    final = {k: c for g in groups(fc).values() for k, c in g.final.items()}
+    # The features leave through a generator, which a filter cannot be pushed through: the null
+    # test then reads finished values instead of repeating every expression.
+    rows = d.select(
+        "symbol", F.col("ts").alias("entry_time"), "session_date", F.col("pos").alias("entry_pos"), *kept,
+        F.col("barrier_outcome").alias("y"),
+        F.explode(F.array(F.struct(*[c.alias(k) for k, c in final.items()]))).alias("f"),
+    )
+    return rows.select("symbol", "entry_time", "session_date", "entry_pos", *kept, "y", "f.*").dropna(
+        subset=list(final)
     )
-    return d.dropna(subset=feature_columns(fc))
 
 
 def split_by_session(matrix: DataFrame, cfg: ExperimentConfig) -> DataFrame:

@@ -53,70 +53,105 @@ def block_rows(specs: list[Ema]) -> int:
     return min(4096, 2 ** int(math.log2(limit)))
 
 
-def with_emas(df: DataFrame, specs: list[Ema]) -> DataFrame:
-    """Add one column per spec; rows before `min_periods` values are null.
+def _running(s: Ema, k: Column) -> Column:
+    """Scaled running sum of the series inside the block.
 
-    `df` needs symbol and a gap-free `pos`. A null value after `start` is refused, because the
-    weights would no longer depend on position alone.
+    A null after `start` is refused, because the weights would no longer depend on position alone.
     """
-    size = block_rows(specs)
-    k = F.pmod("pos", F.lit(size))
-
-    def term(s: Ema) -> Column:
-        x = F.col(s.value)
-        x = F.when(
-            (F.col("pos") >= s.start) & x.isNull(),
-            F.raise_error(F.concat(F.lit(f"{s.value} is null inside the series of "), F.col("symbol"))).cast("double"),
-        ).otherwise(x)
-        weight = F.when(F.col("pos") == s.start, 1.0).otherwise(s.alpha)
-        return F.when(F.col("pos") >= s.start, x * weight * F.exp(k * s.decay))
-
-    d = df.withColumns({"_block": F.floor(F.col("pos") / size), **{f"_x_{s.name}": term(s) for s in specs}})
-    last = F.lit((size - 1.0))
-    totals = d.groupBy("symbol", "_block").agg(
-        *[(F.coalesce(F.sum(f"_x_{s.name}"), F.lit(0.0)) * F.exp(-last * s.decay)).alias(f"_t_{s.name}") for s in specs]
-    )
-    carried = _carry(totals, specs, size)
+    x = F.col(s.value)
+    message = F.concat(F.lit(f"{s.value} is null inside the series of "), F.col("symbol"))
+    weight = F.when(F.col("pos") == s.start, 1.0).otherwise(s.alpha) * F.exp(k * s.decay)
+    term = F.when(F.col("pos") >= s.start, F.coalesce(x, F.raise_error(message).cast("double")) * weight)
     inside = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    joined = d.join(carried, ["symbol", "_block"])
-    local = joined.withColumns({f"_l_{s.name}": F.coalesce(F.sum(f"_x_{s.name}").over(inside), F.lit(0.0)) for s in specs})
-    values = {
-        s.name: F.when(
-            F.col("pos") >= s.start + s.min_periods - 1,
-            F.col(f"_l_{s.name}") * F.exp(-k * s.decay) + F.col(f"_c_{s.name}") * F.exp(-(k + 1) * s.decay),
-        )
-        for s in specs
-    }
-    used = [f"_{p}_{s.name}" for p in "xlc" for s in specs]
-    return local.withColumns(values).drop("_block", *used)
+    return F.coalesce(F.sum(term).over(inside), F.lit(0.0))
+
 
+@dataclass(frozen=True)
+class Level:
+    """Averages that read the same input columns, evaluated over blocks of `size` rows.
+
+    The input is a frame with symbol, pos and `_block`, already partitioned by (symbol, `_block`).
+    """
 
-def _carry(totals: DataFrame, specs: list[Ema], size: int) -> DataFrame:
-    """Average at the end of the block before each block."""
-    depth = max(math.ceil(LOG_NEGLIGIBLE / (size * s.decay)) for s in specs)
-    w = Window.partitionBy("symbol", "chunk").orderBy("_block").rowsBetween(-depth, -1)
-    spread = with_halo(totals, depth, pos="_block", chunk_rows=4096)
+    specs: list[Ema]
+    size: int
 
-    def fold(s: Ema) -> Column:
-        damp = math.exp(-size * s.decay)
-        return F.aggregate(
-            F.collect_list(f"_t_{s.name}").over(w), F.lit(0.0), lambda acc, t: acc * damp + t
+    def local(self, d: DataFrame) -> DataFrame:
+        k = F.pmod("pos", F.lit(self.size))
+        return d.withColumns({f"_l{s.name}": _running(s, k) for s in self.specs})
+
+    def carries(self, local: DataFrame) -> DataFrame:
+        """(symbol, _block, ...): each average at the end of the block before."""
+        last = self.size - 1.0
+        totals = local.groupBy("symbol", "_block").agg(
+            *[(F.max_by(f"_l{s.name}", "pos") * math.exp(-last * s.decay)).alias(f"_t{s.name}") for s in self.specs]
         )
+        depth = max(math.ceil(LOG_NEGLIGIBLE / (self.size * s.decay)) for s in self.specs)
+        before = Window.partitionBy("symbol", "chunk").orderBy("_block").rowsBetween(-depth, -1)
+        spread = with_halo(totals, depth, pos="_block", chunk_rows=4096)
+
+        def fold(s: Ema) -> Column:
+            damp = math.exp(-self.size * s.decay)
+            return F.aggregate(F.collect_list(f"_t{s.name}").over(before), F.lit(0.0), lambda acc, t: acc * damp + t)
 
-    out = spread.withColumns({f"_c_{s.name}": fold(s) for s in specs})
-    return drop_halo(out).select("symbol", "_block", *[f"_c_{s.name}" for s in specs])
+        out = spread.withColumns({f"_c{s.name}": fold(s) for s in self.specs})
+        return drop_halo(out).select("symbol", "_block", *[f"_c{s.name}" for s in self.specs])
 
+    def finish(self, local: DataFrame, carries: DataFrame) -> DataFrame:
+        """Add the averages, null before `min_periods` values."""
+        k = F.pmod("pos", F.lit(self.size))
+        values = {
+            s.name: F.when(
+                F.col("pos") >= s.start + s.min_periods - 1,
+                F.col(f"_l{s.name}") * F.exp(-k * s.decay) + F.col(f"_c{s.name}") * F.exp(-(k + 1) * s.decay),
+            )
+            for s in self.specs
+        }
+        used = [f"_{p}{s.name}" for p in "lc" for s in self.specs]
+        return local.join(carries, ["symbol", "_block"]).withColumns(values).drop(*used)
 
-def with_technical_columns(positioned: DataFrame, fc: FeatureConfig, moves: tuple[str, str]) -> DataFrame:
-    """Add the averages behind the indicators; `moves` names the one-bar gain and loss columns."""
+
+def in_blocks(d: DataFrame, size: int) -> DataFrame:
+    return d.withColumn("_block", F.floor(F.col("pos") / size)).repartition("symbol", "_block")
+
+
+def with_emas(df: DataFrame, specs: list[Ema]) -> DataFrame:
+    """Add one column per spec to a frame with symbol and a gap-free `pos`."""
+    level = Level(specs, block_rows(specs))
+    values = sorted({s.value for s in specs})
+    narrow = level.local(in_blocks(df.select("symbol", "pos", *values), level.size))
+    wide = level.local(in_blocks(df, level.size))
+    return level.finish(wide, level.carries(narrow)).drop("_block")
+
+
+def with_technical_columns(d: DataFrame, closes: DataFrame, fc: FeatureConfig) -> DataFrame:
+    """Add the averages behind the indicators to bars with pos, close and prev_close.
+
+    Block totals come from `closes`, the same bars with as few columns as possible. Both levels use one block size, so
+    each side is shuffled once, and the narrow shuffle serves both levels' totals.
+    """
     fast, slow, signal = fc.macd_fast_bars, fc.macd_slow_bars, fc.macd_signal_bars
-    gain, loss = moves
     n = fc.rsi_window_bars
     spans = sorted({*fc.ema_windows_bars, fast, slow})
-    specs = [Ema(f"_ema_{w}", "close", span_alpha(w), 0, w) for w in spans]
-    specs += [Ema("_avg_gain", gain, 1.0 / n, 1, n), Ema("_avg_loss", loss, 1.0 / n, 1, n)]
-    d = with_emas(positioned, specs).withColumn("_macd", F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}"))
-    return with_emas(d, [Ema("_macd_signal", "_macd", span_alpha(signal), slow - 1, signal)])
+    first = [Ema(f"_ema_{w}", "close", span_alpha(w), 0, w) for w in spans]
+    first += [Ema("_avg_gain", "_gain", 1.0 / n, 1, n), Ema("_avg_loss", "_loss", 1.0 / n, 1, n)]
+    second = [Ema("_macd_signal", "_macd", span_alpha(signal), slow - 1, signal)]
+    size = block_rows(first + second)
+    one, two = Level(first, size), Level(second, size)
+
+    move = F.col("close") - F.col("prev_close")
+    moves = {
+        "_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
+        "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))),
+    }
+    line = F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}")
+
+    narrow = one.local(in_blocks(closes.select("symbol", "pos", "close", "prev_close"), size).withColumns(moves))
+    wide = one.local(in_blocks(d, size).withColumns(moves))
+    ends_one = one.carries(narrow)
+    narrow_two = two.local(one.finish(narrow, ends_one).withColumn("_macd", line))
+    wide_two = two.local(one.finish(wide, ends_one).withColumn("_macd", line))
+    return two.finish(wide_two, two.carries(narrow_two)).drop("_block", "_gain", "_loss")
 
 
 def technical_indicators(fc: FeatureConfig) -> Group:

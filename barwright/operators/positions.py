@@ -36,6 +36,7 @@ def slot_table(bars: DataFrame) -> DataFrame:
         F.max("ts").alias("last_ts"),
         F.max(F.when(has_close, F.col("ts"))).alias("close_ts"),
         F.max_by("close", F.when(has_close, F.col("ts"))).alias("last_close"),
+        F.max_by("close", "ts").alias("end_close"),
         F.sum(typical * F.col("volume")).alias("pv"),
         F.sum("volume").alias("vol"),
     )
@@ -51,6 +52,7 @@ def slot_table(bars: DataFrame) -> DataFrame:
             "n_bars": F.sum("n").over(Window.partitionBy("symbol")),
             "pv0": F.coalesce(F.sum("pv").over(in_session.rowsBetween(*before)), F.lit(0.0)),
             "vol0": F.coalesce(F.sum("vol").over(in_session.rowsBetween(*before)), F.lit(0.0)),
+            "slot_prev_close": F.lag("end_close").over(by_slot),
             "open_ts": F.min("first_ts").over(session),
             "end_ts": F.max("last_ts").over(session),
         }
@@ -81,6 +83,18 @@ def with_positions(bars: DataFrame, slots: DataFrame | None = None, *extra: str)
     )
 
 
+def with_prev_close(positioned: DataFrame) -> DataFrame:
+    """Add `prev_close`, the close one bar earlier, from the slot the bar is in or the slot before.
+
+    Needs the slot table's `slot_prev_close`; uses the ordering `with_positions` already made.
+    """
+    in_slot = Window.partitionBy(*SLOT_KEYS).orderBy("ts")
+    return positioned.withColumn(
+        "prev_close",
+        F.when(F.row_number().over(in_slot) == 1, F.col("slot_prev_close")).otherwise(F.lag("close").over(in_slot)),
+    )
+
+
 def with_halo(df: DataFrame, reach: int, *, pos: str = "pos", chunk_rows: int = 16384) -> DataFrame:
     """Split each symbol into `chunk`s of rows, each led by the `reach` rows before it.
 

@@ -169,7 +169,7 @@ def r6(c: Column | str) -> Column:
 
 
 def show(df: DataFrame) -> DataFrame:
-    """Rounded doubles, zone-less times and one integer type, for comparison with SQL."""
+    """Rounded doubles, zone-less times, ISO dates and one integer type, for comparison with SQL."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -178,6 +178,8 @@ def show(df: DataFrame) -> DataFrame:
             c = r6(c)
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")
+        elif kind == "date":
+            c = c.cast("string")
         elif kind == "integer":
             c = c.cast("bigint")
         out.append(c.alias(f.name))
@@ -237,19 +239,24 @@ def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_stored_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_store.stored_bounds(user_series(spark, sf_dir))
 
 
+def q_stored_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(user_bounds(spark, sf_dir))
+
+
 WANTED = (date(2023, 12, 20), date(2024, 2, 10))
 
 
 def q_missing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_store.missing_ranges(q_stored_bounds(spark, sf_dir), *WANTED)
+    return show(bar_store.missing_ranges(user_bounds(spark, sf_dir), *WANTED))
 
 
 def q_calendar_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_store.calendar_chunks(q_missing_ranges(spark, sf_dir), 7)
+    gaps = bar_store.missing_ranges(user_bounds(spark, sf_dir), *WANTED)
+    return show(bar_store.calendar_chunks(gaps, 7))
 
 
 def q_exchange_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +404,7 @@ def q_daytrade_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: events in the five weekdays ending at each date the user was active on."""
     e = events(spark, sf_dir).select("user_id", cal.session_date("ts", TZ).alias("session_date"))
     as_of = e.select("user_id", F.col("session_date").alias("as_of")).distinct()
-    return risk.window_counts(e, as_of, ["user_id"], 10, 5)
+    return show(risk.window_counts(e, as_of, ["user_id"], 10, 5))
 
 
 def q_daytrade_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +414,7 @@ def q_daytrade_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = risk.with_cap_decision(
         e.withColumn("o", order), ["user_id"], 5, 5, candidate=F.lit(True), order="o"
     )
-    return d.select("user_id", "event_id", "session_date", "over_cap")
+    return show(d.select("user_id", "event_id", "session_date", "over_cap"))
 
 
 def q_weekday_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +422,12 @@ def q_weekday_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("user_id").alias("n_users")
     )
     w = cal.trailing_weekdays("d", 5)
-    return d.select("d", "n_users", cal.anchor_weekday("d").alias("anchor"), w[0].alias("window_start"), cal.business_day_index("d").alias("bd"))
+    return show(
+        d.select(
+            "d", "n_users", cal.anchor_weekday("d").alias("anchor"), w[0].alias("window_start"),
+            cal.business_day_index("d").alias("bd"),
+        )
+    )
 
 
 def q_history_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,7 +438,7 @@ def q_history_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("d").alias("as_of"),
     )
     parsed = text.select("user_id", F.explode(risk.history_dates(F.col("history"))).alias("session_date"))
-    return risk.window_counts(parsed, text.select("user_id", "as_of"), ["user_id"], 3, 5)
+    return show(risk.window_counts(parsed, text.select("user_id", "as_of"), ["user_id"], 3, 5))
 
 
 def q_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +508,7 @@ def q_journal_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = normalize_journal(raw, "click").select("entry_date", "event_id")
     p = predictions(spark, sf_dir).where(F.col("symbol") == "click")
-    return show(journal.compare_journal(j, p))
+    return show(journal.compare_journal(j, p).fillna(0, ["pred_n"]))
 
 
 def q_journal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,11 +325,11 @@ EMA_CTES = (
     + """,
     tech AS (
       SELECT b.symbol, b.ts, b.pos,
-             CASE WHEN b.pos >= 8 THEN (close - e9) / greatest(e9, 1e-12) END AS ema_dist_9m,
-             CASE WHEN b.pos >= 20 THEN (close - e21) / greatest(e21, 1e-12) END AS ema_dist_21m,
+             CASE WHEN b.pos >= 8 THEN (close - w.e9) / greatest(w.e9, 1e-12) END AS ema_dist_9m,
+             CASE WHEN b.pos >= 20 THEN (close - w.e21) / greatest(w.e21, 1e-12) END AS ema_dist_21m,
              CASE WHEN b.pos >= 14 THEN 1.0 - 1.0 / (1.0 + ag / greatest(al, 1e-12)) END AS rsi_14m,
              line AS macd_line, CASE WHEN b.pos >= 33 THEN sig END AS macd_signal, CASE WHEN b.pos >= 33 THEN line - sig END AS macd_hist
-      FROM fbase b LEFT JOIN ewalk USING (symbol, pos) LEFT JOIN mwalk USING (symbol, pos)
+      FROM fbase b LEFT JOIN ewalk w USING (symbol, pos) LEFT JOIN mwalk USING (symbol, pos)
       LEFT JOIN macd m USING (symbol, pos) LEFT JOIN swalk s USING (symbol, pos))"""
 )
 MARKET_CTES = """
@@ -521,7 +521,7 @@ SPEC: dict[str, tuple[str, str, str]] = {
     "weekday_windows": (
         "", "",
         f"""SELECT d, n_users, anchor, CAST(anchor - CASE isodow(anchor) WHEN 5 THEN 4 ELSE 6 END AS DATE) AS window_start, CAST({bd('d')} AS BIGINT) AS bd
-        FROM (SELECT d, count(DISTINCT user_id) AS n_users, CAST(d - greatest(isodow(d) - 5, 0) AS DATE) AS anchor
+        FROM (SELECT d, count(DISTINCT user_id) AS n_users, CAST(d - CAST(greatest(isodow(d) - 5, 0) AS INTEGER) AS DATE) AS anchor
               FROM (SELECT CAST(ts AS DATE) AS d, user_id FROM events) GROUP BY 1)""",
     ),
     "history_dates": (
@@ -599,7 +599,7 @@ JOURNAL = """
       FROM val v JOIN (SELECT session_date, y_pred AS y_pred_mode FROM (
         SELECT session_date, y_pred, row_number() OVER (PARTITION BY session_date ORDER BY count(*) DESC, y_pred) AS rn FROM val WHERE symbol = 'click' GROUP BY 1, 2) WHERE rn = 1) m
       USING (session_date) WHERE v.symbol = 'click' GROUP BY 1),
-    jc AS (SELECT j.*, r.*, coalesce(r.pred_n > 0, FALSE) AS model_matched FROM j LEFT JOIN roll r ON r.session_date = j.entry_date)"""
+    jc AS (SELECT j.*, r.* REPLACE (coalesce(r.pred_n, 0) AS pred_n), coalesce(r.pred_n > 0, FALSE) AS model_matched FROM j LEFT JOIN roll r ON r.session_date = j.entry_date)"""
 SPEC |= {
     "journal_compare": ("val", JOURNAL, pick("entry_date, event_id, session_date, pred_n, y_true_first, y_pred_mode, model_matched", "max_proba_mean", "jc")),
     "journal_matches": ("val", JOURNAL, "SELECT count(*) AS n_rows, count(*) FILTER (WHERE model_matched) AS n_matched FROM jc"),
@@ -628,7 +628,7 @@ SPEC |= {
         pick("run_id, class, support", "precision recall f1", "pc", "WHERE run_id = (SELECT max(run_id) FROM pc)"),
     ),
     "grid_dry_run": (
-        "lab b", f"""s AS (SELECT l.barrier_outcome AS y, {SPLIT} AS split FROM lab l JOIN b ON b.symbol = l.symbol AND b.ts = l.entry_time WHERE l.{IN_SPLIT}),
+        "lab b", f"""s AS (SELECT l.barrier_outcome AS y, {SPLIT.replace('session_date', 'l.session_date')} AS split FROM lab l JOIN b ON b.symbol = l.symbol AND b.ts = l.entry_time WHERE l.{IN_SPLIT}),
         t AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'val' AND y IN (SELECT y FROM s WHERE split = 'train')) AS va,
                      count(*) FILTER (WHERE split = 'val' AND y NOT IN (SELECT y FROM s WHERE split = 'train')) AS lost FROM s),
         c AS (SELECT c, m FROM (SELECT unnest([0.1, 1.0]) AS c) CROSS JOIN (SELECT unnest([1, 1000000000]) AS m))""",
@@ -655,8 +655,32 @@ def _closure(names: list[str]) -> list[str]:
     return done
 
 
+#: date columns per query; both sides hand dates over as ISO text
+DATES = {
+    "session_date": (
+        "bars stream_bars merged_bars refreshed_bars bars_in_range exchange_sessions daily_close daily_vol trading_day_rank "
+        "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap trades session_rollup journal_compare"
+    ),
+    "exit_session_date": "trades",
+    "entry_date": "journal_compare",
+    "stored_start": "stored_bounds",
+    "stored_end": "stored_bounds",
+    "range_start": "missing_ranges calendar_chunks",
+    "range_end": "missing_ranges calendar_chunks",
+    "chunk_start": "calendar_chunks",
+    "chunk_end": "calendar_chunks",
+    "as_of": "daytrade_window history_dates",
+    "d": "weekday_windows",
+    "anchor": "weekday_windows",
+    "window_start": "weekday_windows",
+}
+
+
 def build(name: str) -> str:
     needs, extra, final = SPEC[name]
+    dates = [c for c, where in DATES.items() if name in where.split()]
+    if dates:
+        final = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({final})"
     parts = [f"{n} AS MATERIALIZED ({CTE[n][1]})" for n in _closure(needs.split())]
     if extra:
         parts.append(extra)
