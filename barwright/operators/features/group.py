@@ -1,7 +1,7 @@
 """What a feature group contributes to the plan.
 
-Spark evaluates a window over a window only in separate projections, so each group names its
-columns by stage: `base` may use lags, `frames` may aggregate base columns over trailing rows,
+Spark evaluates a window over a window only in separate projections, so a group names its
+columns by stage: `base` may use lags, `frames` summarises base columns over trailing rows,
 `final` is plain row arithmetic. All groups share one projection per stage, hence one sort.
 """
 
@@ -10,19 +10,44 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
 
 CHUNK_KEYS = ["symbol", "chunk"]
+SLIDING_ROWS = 32
+
+
+@dataclass(frozen=True)
+class Frame:
+    """Mean, sample deviation or median of a base column over the last `rows` bars.
+
+    Null unless all of the rows hold a value. Frames run across sessions.
+    """
+
+    kind: str
+    column: str
+    rows: int
+
+
+def mean_of(column: str, rows: int) -> Frame:
+    return Frame("mean", column, rows)
+
+
+def deviation_of(column: str, rows: int) -> Frame:
+    return Frame("deviation", column, rows)
+
+
+def median_of(column: str, rows: int) -> Frame:
+    return Frame("median", column, rows)
 
 
 @dataclass(frozen=True)
 class Group:
     final: dict[str, Column]
     base: dict[str, Column] = field(default_factory=dict)
-    frames: dict[str, Column] = field(default_factory=dict)
+    frames: dict[str, Frame] = field(default_factory=dict)
     #: rows before the current one that any chained frame of the group can reach
     reach: int = 0
     #: bars an entry must have before it for the group to be complete
@@ -32,22 +57,49 @@ class Group:
 Builder = Callable[[FeatureConfig], Group]
 
 
-def rows(n: int) -> WindowSpec:
-    """The current bar and the n-1 bars before it, across sessions."""
-    return Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(1 - n, 0)
-
-
 def back(c: str, k: int) -> Column:
     return F.lag(c, k).over(Window.partitionBy(*CHUNK_KEYS).orderBy("pos"))
 
 
-def mean_of(c: str, n: int) -> Column:
-    return F.when(F.count(c).over(rows(n)) == n, F.avg(c).over(rows(n)))
-
-
-def deviation_of(c: str, n: int) -> Column:
-    return F.when(F.count(c).over(rows(n)) == n, F.stddev_samp(c).over(rows(n)))
-
-
-def median_of(c: str, n: int) -> Column:
-    return F.when(F.count(c).over(rows(n)) == n, F.percentile(c, F.lit(0.5)).over(rows(n)))
+def with_frames(d: DataFrame, frames: dict[str, Frame]) -> DataFrame:
+    """Add the frames' columns to rows split by `with_halo`.
+
+    A sliding frame costs its length per row in Spark. Means and deviations over more than
+    `SLIDING_ROWS` bars are therefore differences of running totals, which cost the same for any
+    length; totals restart in every chunk, so they stay short enough not to lose digits. Medians
+    do need the frame's values.
+    """
+    upto = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    long = [f for f in frames.values() if f.kind != "median" and f.rows > SLIDING_ROWS]
+    moments = sorted({f.column for f in long})
+    squares = sorted({f.column for f in long if f.kind == "deviation"})
+    totals = {
+        **{f"_n{c}": F.count(c).over(upto) for c in moments},
+        **{f"_s{c}": F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for c in moments},
+        **{f"_q{c}": F.coalesce(F.sum(F.col(c) * F.col(c)).over(upto), F.lit(0.0)) for c in squares},
+    }
+    d = d.withColumns(totals) if totals else d
+
+    def last(total: str, rows: int) -> Column:
+        return F.col(total) - F.coalesce(back(total, rows), F.lit(0))
+
+    def value(f: Frame) -> Column:
+        n, c = f.rows, f.column
+        w = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(1 - n, 0)
+        if f.kind != "median" and n <= SLIDING_ROWS:
+            agg = F.avg(c) if f.kind == "mean" else F.stddev_samp(c)
+            return F.when(F.count(c).over(w) == n, agg.over(w))
+        if f.kind == "median":
+            seen = F.sort_array(F.collect_list(c).over(w))
+            return F.when(
+                F.size(seen) == n, (F.get(seen, F.lit((n - 1) // 2)) + F.get(seen, F.lit(n // 2))) / 2.0
+            )
+        total = last(f"_s{c}", n)
+        if f.kind == "mean":
+            stat = total / n
+        else:
+            spread = last(f"_q{c}", n) - total * total / n
+            stat = F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))
+        return F.when(last(f"_n{c}", n) == n, stat)
+
+    return d.withColumns({k: value(f) for k, f in frames.items()}).drop(*totals)

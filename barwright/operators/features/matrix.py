@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from barwright.config import ExperimentConfig, FeatureConfig
 from barwright.operators.features import session, technical
+from barwright.operators.features.group import with_frames
 from barwright.operators.features.market import with_market_context
 from barwright.operators.features.registry import feature_columns, groups, warmup_bars
 from barwright.operators.positions import drop_halo, slot_table, with_halo, with_positions, with_prev_close
 
-BAR_COLUMNS = ("symbol", "ts", "session_date", "open", "high", "low", "close", "volume")
+CHUNK_ROWS = 4096
 LABEL_FIELDS = (
     "entry_close", "sigma_ann_at_entry", "vol_scale_ratio", "tp_move_effective", "sl_move",
     "barrier_outcome", "bars_forward",
@@ -76,9 +77,9 @@ def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | No
     base = {k: c for g in gs.values() for k, c in g.base.items()}
     frames = {k: c for g in gs.values() for k, c in g.frames.items()}
     if base or frames:
-        d = with_halo(d, max(g.reach for g in gs.values()))
+        d = with_halo(d, max(g.reach for g in gs.values()), chunk_rows=CHUNK_ROWS)
         d = d.withColumns(base) if base else d
-        d = d.withColumns(frames) if frames else d
+        d = with_frames(d, frames) if frames else d
         d = drop_halo(d)
     return d
 

@@ -78,9 +78,12 @@ def bar_blocks(bars: DataFrame, *entry_columns: str) -> DataFrame:
     row = F.struct(
         "pos", "high", "low", F.when(F.col("is_entry"), F.struct(*entry_columns)).alias("entry")
     )
-    return bars.groupBy("symbol", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+    blocks = bars.groupBy("symbol", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
         F.collect_list(row).alias("rows")
     )
+    # Stated here, the key filters that joins would add to one branch are the same in all
+    # branches, and their shuffle is made once and reused.
+    return blocks.where(F.col("symbol").isNotNull() & F.col("block").isNotNull())
 
 
 def block_envelopes(blocks: DataFrame) -> DataFrame:
@@ -109,9 +112,13 @@ def first_touch(blocks: DataFrame, geometry: Callable[[DataFrame], DataFrame]) -
     """
     pos, end = F.col("entry_pos"), F.col("end_pos")
     upper, lower = F.col("upper_barrier"), F.col("lower_barrier")
+    slim = F.transform("rows", lambda r: F.struct(r["pos"].alias("pos"), r["high"].alias("high"), r["low"].alias("low")))
     entries = blocks.select(
-        "symbol", "block", "rows", F.explode(F.filter("rows", lambda r: r["entry"].isNotNull())).alias("r")
-    ).select("symbol", "block", "rows", F.col("r.pos").alias("entry_pos"), "r.entry.*")
+        "symbol", "block", slim.alias("rows"), F.filter("rows", lambda r: r["entry"].isNotNull()).alias("found")
+    )
+    entries = entries.select("symbol", "block", "rows", F.explode("found").alias("r")).select(
+        "symbol", "block", "rows", F.col("r.pos").alias("entry_pos"), "r.entry.*"
+    )
     entries = (
         geometry(entries)
         .withColumn("own_code", _touch_code("rows", pos, end, upper, lower))
@@ -133,7 +140,7 @@ def first_touch(blocks: DataFrame, geometry: Callable[[DataFrame], DataFrame]) -
         .groupBy("symbol", "entry_pos")
         .agg(F.min("later").alias("later"), *[F.any_value(c).alias(c) for c in carried])
     )
-    target = blocks.select("symbol", F.col("block").alias("target"), "rows")
+    target = blocks.select("symbol", F.col("block").alias("target"), slim.alias("rows"))
     found = (
         ahead.withColumn("target", F.coalesce("later", "block"))
         .join(target, ["symbol", "target"], "left")
