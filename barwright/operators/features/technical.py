@@ -53,82 +53,81 @@ def block_rows(specs: list[Ema]) -> int:
     return min(4096, 2 ** int(math.log2(limit)))
 
 
-def _running(s: Ema, k: Column) -> Column:
-    """Scaled running sum of the series inside the block.
-
-    A null after `start` is refused, because the weights would no longer depend on position alone.
-    """
-    x = F.col(s.value)
-    message = F.concat(F.lit(f"{s.value} is null inside the series of "), F.col("symbol"))
-    weight = F.when(F.col("pos") == s.start, 1.0).otherwise(s.alpha) * F.exp(k * s.decay)
-    term = F.when(F.col("pos") >= s.start, F.coalesce(x, F.raise_error(message).cast("double")) * weight)
-    inside = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.sum(term).over(inside), F.lit(0.0))
-
-
 @dataclass(frozen=True)
 class Level:
-    """Averages that read the same input columns, evaluated over blocks of `size` rows.
-
-    The input is a frame with symbol, pos and `_block`, already partitioned by (symbol, `_block`).
-    """
+    """Averages that read the same input columns, evaluated over blocks of `size` rows."""
 
     specs: list[Ema]
     size: int
 
-    def local(self, d: DataFrame) -> DataFrame:
+    def _term(self, s: Ema) -> Column:
+        """Scaled weight times value; null before the series starts.
+
+        A null after `start` is refused, because the weights would no longer depend on position
+        alone.
+        """
+        x = F.col(s.value)
+        message = F.concat(F.lit(f"{s.value} is null inside the series of "), F.col("symbol"))
         k = F.pmod("pos", F.lit(self.size))
-        return d.withColumns({f"_l{s.name}": _running(s, k) for s in self.specs})
+        weight = F.when(F.col("pos") == s.start, 1.0).otherwise(s.alpha) * F.exp(k * s.decay)
+        return F.when(F.col("pos") >= s.start, F.coalesce(x, F.raise_error(message).cast("double")) * weight)
 
-    def carries(self, local: DataFrame) -> DataFrame:
-        """(symbol, _block, ...): each average at the end of the block before."""
+    def carries(self, d: DataFrame) -> DataFrame:
+        """(symbol, _block, carry): every average at the end of the block before.
+
+        Block totals are plain sums, combined before the shuffle. They travel as one array so
+        that every use of them is the same plan, whichever averages it goes on to read.
+        """
         last = self.size - 1.0
-        totals = local.groupBy("symbol", "_block").agg(
-            *[(F.max_by(f"_l{s.name}", "pos") * math.exp(-last * s.decay)).alias(f"_t{s.name}") for s in self.specs]
-        )
+        ends = [F.coalesce(F.sum(self._term(s)), F.lit(0.0)) * math.exp(-last * s.decay) for s in self.specs]
+        totals = d.groupBy("symbol", "_block").agg(F.array(*ends).alias("t"))
         depth = max(math.ceil(LOG_NEGLIGIBLE / (self.size * s.decay)) for s in self.specs)
         before = Window.partitionBy("symbol", "chunk").orderBy("_block").rowsBetween(-depth, -1)
-        spread = with_halo(totals, depth, pos="_block", chunk_rows=4096)
-
-        def fold(s: Ema) -> Column:
-            damp = math.exp(-self.size * s.decay)
-            return F.aggregate(F.collect_list(f"_t{s.name}").over(before), F.lit(0.0), lambda acc, t: acc * damp + t)
-
-        out = spread.withColumns({f"_c{s.name}": fold(s) for s in self.specs})
-        return drop_halo(out).select("symbol", "_block", *[f"_c{s.name}" for s in self.specs])
+        damp = F.array(*[F.lit(math.exp(-self.size * s.decay)) for s in self.specs])
+        none = F.array(*[F.lit(0.0) for _ in self.specs])
+        seen = with_halo(totals, depth, pos="_block", chunk_rows=4096).withColumn("seen", F.collect_list("t").over(before))
+        carry = F.aggregate(
+            "seen", none, lambda acc, t: F.transform(acc, lambda a, i: a * F.get(damp, i) + F.get(t, i))
+        )
+        return drop_halo(seen).select("symbol", "_block", carry.alias("carry"))
 
-    def finish(self, local: DataFrame, carries: DataFrame) -> DataFrame:
-        """Add the averages, null before `min_periods` values."""
+    def apply(self, d: DataFrame, carries: DataFrame) -> DataFrame:
+        """Add the averages, null before `min_periods` values, to rows shuffled by `in_blocks`."""
+        inside = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        local = d.withColumns({f"_l{s.name}": F.sum(self._term(s)).over(inside) for s in self.specs})
         k = F.pmod("pos", F.lit(self.size))
         values = {
             s.name: F.when(
                 F.col("pos") >= s.start + s.min_periods - 1,
-                F.col(f"_l{s.name}") * F.exp(-k * s.decay) + F.col(f"_c{s.name}") * F.exp(-(k + 1) * s.decay),
+                F.col(f"_l{s.name}") * F.exp(-k * s.decay) + F.get("carry", F.lit(i)) * F.exp(-(k + 1) * s.decay),
             )
-            for s in self.specs
+            for i, s in enumerate(self.specs)
         }
-        used = [f"_{p}{s.name}" for p in "lc" for s in self.specs]
-        return local.join(carries, ["symbol", "_block"]).withColumns(values).drop(*used)
+        used = [f"_l{s.name}" for s in self.specs]
+        return local.join(carries, ["symbol", "_block"]).withColumns(values).drop("carry", *used)
+
+
+def block_number(size: int) -> Column:
+    return F.floor(F.col("pos") / size)
 
 
 def in_blocks(d: DataFrame, size: int) -> DataFrame:
-    return d.withColumn("_block", F.floor(F.col("pos") / size)).repartition("symbol", "_block")
+    return d.withColumn("_block", block_number(size)).repartition("symbol", "_block")
 
 
 def with_emas(df: DataFrame, specs: list[Ema]) -> DataFrame:
     """Add one column per spec to a frame with symbol and a gap-free `pos`."""
     level = Level(specs, block_rows(specs))
     values = sorted({s.value for s in specs})
-    narrow = level.local(in_blocks(df.select("symbol", "pos", *values), level.size))
-    wide = level.local(in_blocks(df, level.size))
-    return level.finish(wide, level.carries(narrow)).drop("_block")
+    carries = level.carries(df.select("symbol", "pos", *values).withColumn("_block", block_number(level.size)))
+    return level.apply(in_blocks(df, level.size), carries).drop("_block")
 
 
 def with_technical_columns(d: DataFrame, closes: DataFrame, fc: FeatureConfig) -> DataFrame:
     """Add the averages behind the indicators to bars with pos, close and prev_close.
 
-    Block totals come from `closes`, the same bars with as few columns as possible. Both levels use one block size, so
-    each side is shuffled once, and the narrow shuffle serves both levels' totals.
+    Block totals come from `closes`, the same bars with as few columns as possible. Both levels
+    use one block size, so the bars themselves are shuffled once for both.
     """
     fast, slow, signal = fc.macd_fast_bars, fc.macd_slow_bars, fc.macd_signal_bars
     n = fc.rsi_window_bars
@@ -146,12 +145,11 @@ def with_technical_columns(d: DataFrame, closes: DataFrame, fc: FeatureConfig) -
     }
     line = F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}")
 
-    narrow = one.local(in_blocks(closes.select("symbol", "pos", "close", "prev_close"), size).withColumns(moves))
-    wide = one.local(in_blocks(d, size).withColumns(moves))
-    ends_one = one.carries(narrow)
-    narrow_two = two.local(one.finish(narrow, ends_one).withColumn("_macd", line))
-    wide_two = two.local(one.finish(wide, ends_one).withColumn("_macd", line))
-    return two.finish(wide_two, two.carries(narrow_two)).drop("_block", "_gain", "_loss")
+    narrow = closes.select("symbol", "pos", "close", "prev_close")
+    ends_one = one.carries(narrow.withColumns({"_block": block_number(size), **moves}))
+    line_only = one.apply(in_blocks(narrow, size).withColumns(moves), ends_one).withColumn("_macd", line)
+    wide = one.apply(in_blocks(d, size).withColumns(moves), ends_one).withColumn("_macd", line)
+    return two.apply(wide, two.carries(line_only)).drop("_block", "_gain", "_loss")
 
 
 def technical_indicators(fc: FeatureConfig) -> Group:
