@@ -167,7 +167,7 @@ def test_grid(spark, matrix):
 
 def test_tick_stream_builds_the_bars_a_batch_builds(spark, tmp_path):
     rng = np.random.default_rng(1)
-    ts = pd.to_datetime("2024-01-08 09:00") + pd.to_timedelta(np.sort(rng.integers(0, 8 * 3600 * 10, 4000)) / 10, unit="s")
+    ts = pd.to_datetime("2024-01-08 09:00") + pd.to_timedelta(np.sort(rng.choice(8 * 3600 * 10, 4000, replace=False)) / 10, unit="s")
     ticks = pd.DataFrame({"symbol": rng.choice(["A", "B"], 4000), "ts": ts, "price": rng.normal(100, 1, 4000), "size": 1.0})
     for i in range(3):
         spark.createDataFrame(ticks.iloc[i::3]).coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
