@@ -61,15 +61,17 @@ def barrier_geometry(entries: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     )
 
 
-def _touch_code(rows: str, pos: Column, end: Column, upper: Column, lower: Column) -> Column:
-    """2 * position of the first touching bar in (pos, end), plus 1 for a take-profit touch."""
-    touching = F.filter(
-        rows,
-        lambda r: (r["pos"] > pos) & (r["pos"] < end) & ((r["high"] >= upper) | (r["low"] <= lower)),
-    )
+def _touch_code(rows: Column, end: Column, upper: Column, lower: Column) -> Column:
+    """2 * position of the first touching bar of `rows` before `end`, plus 1 for a take-profit touch."""
+    touching = F.filter(rows, lambda r: ((r["high"] >= upper) | (r["low"] <= lower)) & (r["pos"] < end))
     return F.array_min(F.transform(touching, lambda r: r["pos"] * 2 + F.when(r["low"] <= lower, 0).otherwise(1)))
 
 
+def _after(array: Column, index: Column, size: int) -> Column:
+    """The elements after the 0-based `index` of a full, ordered block."""
+    return F.slice(array, (index + 2).cast("int"), size)
+
+
 def bar_blocks(bars: DataFrame, *entry_columns: str) -> DataFrame:
     """Bars grouped by 64 positions: `rows` holds pos, high, low and, for entries, `entry`.
 
@@ -79,7 +81,7 @@ def bar_blocks(bars: DataFrame, *entry_columns: str) -> DataFrame:
         "pos", "high", "low", F.when(F.col("is_entry"), F.struct(*entry_columns)).alias("entry")
     )
     blocks = bars.groupBy("symbol", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
-        F.collect_list(row).alias("rows")
+        F.sort_array(F.collect_list(row)).alias("rows")
     )
     # Stated here, the key filters that joins would add to one branch are the same in all
     # branches, and their shuffle is made once and reused.
@@ -99,7 +101,7 @@ def block_envelopes(blocks: DataFrame) -> DataFrame:
             ).alias("kid"),
         )
         .groupBy("symbol", "sup")
-        .agg(F.collect_list("kid").alias("kids"))
+        .agg(F.sort_array(F.collect_list("kid")).alias("kids"))
     )
 
 
@@ -119,10 +121,9 @@ def first_touch(blocks: DataFrame, geometry: Callable[[DataFrame], DataFrame]) -
     entries = entries.select("symbol", "block", "rows", F.explode("found").alias("r")).select(
         "symbol", "block", "rows", F.col("r.pos").alias("entry_pos"), "r.entry.*"
     )
+    rest_of_block = _after(F.col("rows"), pos % BLOCK, BLOCK)
     entries = (
-        geometry(entries)
-        .withColumn("own_code", _touch_code("rows", pos, end, upper, lower))
-        .drop("rows")
+        geometry(entries).withColumn("own_code", _touch_code(rest_of_block, end, upper, lower)).drop("rows")
     )
     carried = [c for c in entries.columns if c not in ("symbol", "entry_pos")]
 
@@ -130,9 +131,8 @@ def first_touch(blocks: DataFrame, geometry: Callable[[DataFrame], DataFrame]) -
     settled = F.col("own_code").isNotNull()
     own_sup = F.floor(F.col("block") / SUPER)
     last_sup = F.when(settled, own_sup).otherwise(F.floor((end - 1) / (BLOCK * SUPER)))
-    reaching = F.filter(
-        "kids", lambda k: (k["block"] > F.col("block")) & ((k["hi"] >= upper) | (k["lo"] <= lower))
-    )
+    later_kids = F.when(F.col("sup") == own_sup, _after(F.col("kids"), F.col("block") % SUPER, SUPER)).otherwise(F.col("kids"))
+    reaching = F.filter(later_kids, lambda k: (k["hi"] >= upper) | (k["lo"] <= lower))
     ahead = (
         entries.withColumn("sup", F.explode(F.sequence(own_sup, last_sup)))
         .join(block_envelopes(blocks), ["symbol", "sup"], "left")
@@ -147,7 +147,7 @@ def first_touch(blocks: DataFrame, geometry: Callable[[DataFrame], DataFrame]) -
         .withColumn(
             "code",
             F.coalesce(
-                "own_code", F.when(F.col("later").isNotNull(), _touch_code("rows", pos, end, upper, lower))
+                "own_code", F.when(F.col("later").isNotNull(), _touch_code(F.col("rows"), end, upper, lower))
             ),
         )
     )

@@ -16,10 +16,10 @@ from barwright.functions.calendar import business_day_index, is_weekend, trailin
 
 
 def _fold_days(days: Column, max_events: int, window_days: int) -> Column:
-    """array<struct<session_date, allowed>> from date-ordered array<struct<session_date, bd, weekend, n>>."""
+    """array<struct<session_date, n, allowed>> from date-ordered array<struct<session_date, bd, weekend, n>>."""
     empty = F.struct(
         F.array().cast("array<struct<bd:bigint,a:bigint>>").alias("recent"),
-        F.array().cast("array<struct<session_date:date,allowed:bigint>>").alias("out"),
+        F.array().cast("array<struct<session_date:date,n:bigint,allowed:bigint>>").alias("out"),
     )
 
     def step(acc: Column, d: Column) -> Column:
@@ -32,7 +32,7 @@ def _fold_days(days: Column, max_events: int, window_days: int) -> Column:
         return F.struct(
             F.when(d["weekend"], live).otherwise(entered).alias("recent"),
             F.concat(
-                acc["out"], F.array(F.struct(d["session_date"].alias("session_date"), a.alias("allowed")))
+                acc["out"], F.array(F.struct(d["session_date"].alias("session_date"), d["n"].alias("n"), a.alias("allowed")))
             ).alias("out"),
         )
 
@@ -53,7 +53,7 @@ def daily_allowance(events: DataFrame, by: list[str], max_events: int, window_da
     folded = counts.groupBy(*by).agg(F.sort_array(F.collect_list(day)).alias("days"))
     return folded.select(
         *by, F.explode(_fold_days(F.col("days"), max_events, window_days)).alias("d")
-    ).select(*by, "d.session_date", "d.allowed")
+    ).select(*by, "d.session_date", "d.n", "d.allowed")
 
 
 def with_cap_decision(
@@ -61,16 +61,30 @@ def with_cap_decision(
 ) -> DataFrame:
     """Add boolean `over_cap`: a candidate event refused by the rolling cap.
 
-    Rows where `candidate` is false neither use nor are limited by the cap.
+    Rows where `candidate` is false neither use nor are limited by the cap. `order` must be
+    unique within a group and session. A session accepts at most `max_events` candidates or all
+    of them, so only its first `max_events` are ranked (a rank limit, applied before the
+    shuffle); the last accepted one is the session's cutoff.
     """
     flagged = events.withColumn("_cand", F.coalesce(candidate, F.lit(False)))
-    allowed = daily_allowance(flagged.where("_cand"), by, max_events, window_days)
-    w = Window.partitionBy(*by, "session_date").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = flagged.withColumn("_rank", F.sum(F.col("_cand").cast("bigint")).over(w))
+    cands = flagged.where("_cand")
+    allowed = daily_allowance(cands, by, max_events, window_days)
+    keys = [*by, "session_date"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
+    first = cands.select(*keys, F.col(order).alias("_o")).withColumn("_rank", rank).where(F.col("_rank") <= max_events)
+    cutoff = (
+        first.join(allowed, keys)
+        .groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("_rank") <= F.col("allowed"), F.col("_o"))).alias("_cut"),
+            F.max(F.col("allowed") < F.col("n")).alias("_limited"),
+        )
+    )
+    beyond = F.col("_cut").isNull() | (F.col(order) > F.col("_cut"))
     return (
-        ranked.join(allowed, [*by, "session_date"], "left")
-        .withColumn("over_cap", F.col("_cand") & (F.col("_rank") > F.col("allowed")))
-        .drop("_cand", "_rank", "allowed")
+        flagged.join(cutoff, keys, "left")
+        .withColumn("over_cap", F.col("_cand") & F.col("_limited") & beyond)
+        .drop("_cand", "_cut", "_limited")
     )
 
 
