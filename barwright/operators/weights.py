@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def balanced_class_weights(rows: DataFrame, y: str = "y", by: list[str] | None =
     )
 
 
-def mapped_class_weight(weights: Mapping[str, float], y: str = "y") -> Column:
+def mapped_class_weight(weights: Mapping[Any, float], y: str = "y") -> Column:
     """Class weight from a mapping; classes not named weigh 1."""
     expr = F.lit(1.0)
     for cls, w in weights.items():
@@ -101,6 +102,14 @@ def mapped_class_weight(weights: Mapping[str, float], y: str = "y") -> Column:
     return expr
 
 
+def collected_class_weights(rows: DataFrame, y: str = "y") -> dict[Any, float]:
+    """Balanced weights as a mapping: one number per class is all that reaches the driver.
+
+    As literals they need no join on the class, whose few values would gather the rows.
+    """
+    return {r[y]: float(r["class_weight"]) for r in balanced_class_weights(rows, y).collect()}
+
+
 def with_fit_weights(
     train: DataFrame,
     *,
@@ -112,13 +121,10 @@ def with_fit_weights(
     if method not in ("none", "uniqueness"):
         raise ValueError(f"unknown sample weight method {method!r}")
     d = uniqueness_weights(train) if method == "uniqueness" else train.withColumn("uniqueness", F.lit(1.0))
-    if class_weight == "balanced":
-        d = d.join(balanced_class_weights(train, y).drop("n"), y)
-    elif class_weight is None:
-        d = d.withColumn("class_weight", F.lit(1.0))
-    else:
-        d = d.withColumn("class_weight", mapped_class_weight(class_weight, y))
-    return d.withColumn("fit_weight", F.col("uniqueness") * F.col("class_weight"))
+    weights = collected_class_weights(train, y) if class_weight == "balanced" else (class_weight or {})
+    return d.withColumn("class_weight", mapped_class_weight(weights, y)).withColumn(
+        "fit_weight", F.col("uniqueness") * F.col("class_weight")
+    )
 
 
 def weight_summary(weighted: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from barwright.config import ExperimentConfig
 from barwright.functions.expr import ratio_or_zero
 from barwright.operators.backtest import act_threshold, primary_threshold
 from barwright.operators.labels import TAKE_PROFIT
-from barwright.operators.weights import balanced_class_weights
+from barwright.operators.weights import collected_class_weights, mapped_class_weight
 
 META_COLUMNS = ("proba_stop_loss", "proba_take_profit", "proba_vertical", "max_proba")
 MAX_ITERATIONS = 2000
@@ -65,7 +65,8 @@ def train_meta(
     n_leaked = leaked_rows(gated, primary_train).count()
     if n_leaked:
         raise ValueError(f"meta training has {n_leaked} rows outside the primary train split")
-    weighted = gated.join(balanced_class_weights(gated, "target").drop("n"), "target")
+    balanced = collected_class_weights(gated, "target")
+    weighted = gated.withColumn("class_weight", mapped_class_weight(balanced, "target"))
     x = VectorAssembler(inputCols=list(META_COLUMNS), outputCol="_mx").transform(weighted).persist()
     try:
         total = x.agg(F.sum("class_weight"), F.count_distinct("target")).first()
