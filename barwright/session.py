@@ -15,6 +15,8 @@ def build_session(app: str = "barwright", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # HotSpot never compiles methods above 8000 bytes of bytecode; split those instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # call-site capture doubles the cost of building wide plans
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
