@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -315,12 +316,11 @@ def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, gram: int) ->
                 )
 
     named = docs.select("text").mapInArrow(batches, "name binary, text string")
-    bits = sent
 
     @F.pandas_udf("boolean")
-    def passes(place):
+    def passes(place: pd.Series) -> pd.Series:
         p = place.to_numpy()
-        return __import__("pandas").Series((bits.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series((sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
 
     hit = named.where(passes(F.pmod(F.xxhash64("name"), F.lit(FILTER_BITS)))).dropDuplicates(["name"])
     return written(wanted.join(hit, "name").select("node", "text"), "texts")
@@ -399,6 +399,7 @@ def similar_components(docs: DataFrame, *, gram: int = 5, percent: int = 80) ->
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     linked = linked.join(smallest, "root").select("name", "smallest")
     ids = least.join(linked, "name", "left").select("name", F.coalesce("smallest", "least").alias("component"))
-    return each.join(ids, "name", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    named = each.where("name IS NOT NULL").join(ids, "name").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # texts without words need no join, so their rows never gather
+    bare = each.where("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.unionByName(bare)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import extract, fingerprints, mixing, sharding, urls
+from barwright.llm import extract, fingerprints, mixing, ngram_join, sharding, toxicity, urls
 from barwright.llm.tables import read
 
 
@@ -19,6 +19,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), [1.0] * sharding.SHARDS)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"), gram=4, percent=85)
+
+
+def held_out(parts: int, kept: int) -> Column:
+    """Rows whose labels are not learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == kept
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(~held_out(5, 0))
+    scores = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 #: Share of the tokens wanted from each (language, quality) domain
 TARGETS = {"en/1": 0.50, "en/0": 0.06, "de/1": 0.14, "de/0": 0.02, "fr/1": 0.14, "fr/0": 0.02, "es/1": 0.10, "es/0": 0.02}
 
@@ -47,6 +62,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
+    "op3_ngram_join": op3_ngram_join,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_extraction": op9_extraction,
     "op10_url_filter": op10_url_filter,
