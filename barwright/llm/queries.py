@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import extract, fingerprints, mixing, ngram_join, sharding, toxicity, urls
+from barwright.llm import decontaminate, extract, fingerprints, mixing, ngram_join, quality, sharding, toxicity, urls
 from barwright.llm.tables import read
 
 
@@ -28,6 +28,16 @@ def held_out(parts: int, kept: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == kept
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(~held_out(3, 1))
+    scores = quality.quality_scores(read(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(~held_out(5, 0))
     scores = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), labels)
@@ -63,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_extraction": op9_extraction,
