@@ -1,21 +1,61 @@
-"""A corpus pipeline over the text operators: each stage takes and returns documents, the last one their shards."""
+"""A corpus pipeline over the text operators: each stage takes and returns documents, the last one their shards.
+
+Keys are doc_ids: a decision about a doc_id holds for all rows with it. Rows with a null doc_id pass the filters. Null and
+empty texts are kept by the filters unless the toxicity curve rejects them. Empty table: no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barwright.llm import sharding
+from barwright.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from barwright.llm.queries import TARGETS, quality_domains
 from barwright.llm.tables import read, written
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the two language models find toxic."""
+    scores = toxicity.toxicity_scores(docs, read(spark, sf_dir, "labels"))
+    return docs.join(scores.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of similar ones, and one row of rows repeated as a whole."""
+    groups = written(ngram_join.similar_components(docs).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    single = kept.join(repeated, "doc_id", "left_anti")
+    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.select(docs.columns).unionByName(several.select(docs.columns))
+
+
+def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents with a passage that aligns with a benchmark item."""
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as its rate says, at least once: no document is dropped to meet the targets."""
+    labelled = quality_domains(docs, read(spark, sf_dir, "labels"))
+    copies = mixing.mixed(docs, labelled, TARGETS, floor=1.0).select(F.col("doc_id").alias("id"), "text_key", "copies").distinct()
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]) & (key == copies["text_key"]))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select([docs[c] for c in docs.columns])
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, [1.0] * sharding.SHARDS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic), ("ngram_join", near_copies), ("decontamination", leaked), ("mixing", mix), ("sharding", shard),
+]
 #: the toxicity stage and the mixing stage are models, which SQL cannot express
 ORACLE_SQL: str | None = None
 
