@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import decontaminate, extract, fingerprints, mixing, ngram_join, quality, sharding, toxicity, urls
+from barwright.llm import decontaminate, extract, fingerprints, mixing, ngram_join, quality, repeats, sharding, toxicity, urls
 from barwright.llm.tables import read
 
 
@@ -61,6 +61,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, quality_domains(docs, read(spark, sf_dir, "labels")), TARGETS)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_text(read(spark, sf_dir, "pages"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_suffix_array": op8_suffix_array,
     "op9_extraction": op9_extraction,
     "op10_url_filter": op10_url_filter,
 }
