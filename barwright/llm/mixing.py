@@ -7,7 +7,7 @@ probability for each domain. Document rates r >= floor then minimise
 
 by projected gradient steps from r = 1. In the metric where document i counts tokens_i the step length 1 is safe: the
 matrix of the problem is row-stochastic. Each step is one distributed sum of as many numbers as there are domains; the
-rates themselves are a column expression in the steps taken so far and are never collected.
+rates themselves are a column, written after every few steps, and are never collected.
 """
 
 from __future__ import annotations
@@ -106,16 +106,20 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *,
 
 
 def rate_column(steps: list[list[float]], floor: float) -> Column:
-    """The rate after the steps so far: each moves along the posteriors and is cut off at the floor."""
-    r = F.lit(1.0)
+    """The rate after some steps from column `rate`: each moves along the posteriors and is cut off at the floor."""
+    r = F.col("rate")
     for s in steps:
         r = F.greatest(F.lit(floor), r + reduce(lambda a, b: a + b, (F.col(f"p{k}") * F.lit(x) for k, x in enumerate(s))))
     return r
 
 
-def fit_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget: float | None = None, most: int = 40,
-              close: float = 1e-6) -> list[list[float]]:
-    """The steps that bring expected domain totals to targets * budget, to a relative `close` or after `most` steps.
+#: steps held as one expression before the rates are written; compiling longer ones costs more than writing
+HELD_STEPS = 4
+
+
+def with_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget: float | None = None, most: int = 40,
+               close: float = 1e-6) -> DataFrame:
+    """d with `rate`: expected domain totals are targets * budget, to a relative `close` or after `most` steps.
 
     targets are shares that add up to 1; budget is the wanted number of tokens: all there are by default, or the least
     with which no domain shrinks where floor is 1.
@@ -125,8 +129,9 @@ def fit_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget:
     if not targets or min(targets) <= 0:
         raise ValueError("targets must be positive")
     size = d.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col(n)), F.lit(0.0)).alias(n) for n in names)).first()
+    d = d.withColumn("rate", F.lit(1.0))
     if not sum(size):
-        return []
+        return d
     if budget is None:
         budget = max(s * share / t for s, t in zip(size, targets, strict=True)) if floor >= 1 else sum(size)
     want = [t / share * budget for t in targets]
@@ -137,9 +142,11 @@ def fit_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget:
         if max(abs(m) * s / w for m, s, w in zip(miss, size, want, strict=True)) < close:
             break
         steps.append(miss)
-        r = rate_column(steps, floor)
-        now = list(d.withColumn("r", r).agg(*(F.sum(F.col("r") * F.col("tokens") * F.col(n)) for n in names)).first())
-    return steps
+        if len(steps) == HELD_STEPS:
+            d, steps = written(d.withColumn("rate", rate_column(steps, floor)), "rates"), []
+        r = d.withColumn("rate", rate_column(steps, floor))
+        now = list(r.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(n)) for n in names)).first())
+    return d.withColumn("rate", rate_column(steps, floor))
 
 
 def fraction_of(*key: Column) -> Column:
@@ -156,7 +163,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, fl
     rate. Empty table: no rows.
     """
     d = with_posteriors(docs, labelled, list(targets))
-    steps = fit_rates(d, list(targets.values()), floor=floor, budget=budget)
-    d = d.withColumn("rate", rate_column(steps, floor))
+    d = with_rates(d, list(targets.values()), floor=floor, budget=budget)
     u = fraction_of(F.col("doc_id"), F.col("text_key"))
     return d.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
