@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from barwright.llm.tables import written
 from barwright.llm.words import SLICE_BYTES, U, Words, mix, slices
 
-ORDER, SHARED, DISCOUNT = 6, 3, 0.75
+ORDER, SHARED, DISCOUNT = 6, 1, 0.75
 CELLS = 1 << 20
 SPACE = 32
 CLASSES = ("toxic", "plain")
