@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TAIL_LINES = 500
-
 
 def leaderboard(runs: DataFrame, metric: str = "val_f1_macro", *, top: int = 10, by: list[str] | None = None) -> DataFrame:
     """The best runs per group with their rank; runs without the metric are left out.
@@ -40,9 +38,8 @@ def best_run(results: DataFrame, by: list[str] | None = None, metric: str = "val
 
 
 def log_tail(log: DataFrame, symbol: str, *, entries: int = 5, order: str = "logged_at_utc") -> DataFrame:
-    """The symbol's last entries among the log's latest lines, oldest first."""
-    recent = log.orderBy(F.desc(order)).limit(TAIL_LINES)
-    mine = recent.where(F.upper(F.col("symbol")) == symbol.upper())
+    """The symbol's last entries, oldest first, however many lines of other symbols follow them."""
+    mine = log.where(F.upper(F.col("symbol")) == symbol.upper())
     return mine.orderBy(F.desc(order)).limit(entries).orderBy(order)
 
 

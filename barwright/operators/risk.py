@@ -61,17 +61,18 @@ def with_cap_decision(
 ) -> DataFrame:
     """Add boolean `over_cap`: a candidate event refused by the rolling cap.
 
-    Rows where `candidate` is false neither use nor are limited by the cap. `order` must be
-    unique within a group and session. A session accepts at most `max_events` candidates or all
+    Rows where `candidate` is false neither use nor are limited by the cap. `order`, with the symbol where
+    there is one, must be unique within a group and session: an account over several symbols has equal times. A session accepts at most `max_events` candidates or all
     of them, so only its first `max_events` are ranked (a rank limit, applied before the
     shuffle); the last accepted one is the session's cutoff.
     """
+    place = F.struct(order, "symbol") if "symbol" in events.columns and order != "symbol" else F.col(order)
     flagged = events.withColumn("_cand", F.coalesce(candidate, F.lit(False)))
     cands = flagged.where("_cand")
     allowed = daily_allowance(cands, by, max_events, window_days)
     keys = [*by, "session_date"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
-    first = cands.select(*keys, F.col(order).alias("_o")).withColumn("_rank", rank).where(F.col("_rank") <= max_events)
+    first = cands.select(*keys, place.alias("_o")).withColumn("_rank", rank).where(F.col("_rank") <= max_events)
     cutoff = (
         first.join(allowed, keys)
         .groupBy(*keys)
@@ -80,7 +81,7 @@ def with_cap_decision(
             F.max(F.col("allowed") < F.col("n")).alias("_limited"),
         )
     )
-    beyond = F.col("_cut").isNull() | (F.col(order) > F.col("_cut"))
+    beyond = F.col("_cut").isNull() | (place > F.col("_cut"))
     return (
         flagged.join(cutoff, keys, "left")
         .withColumn("over_cap", F.col("_cand") & F.col("_limited") & beyond)

@@ -617,7 +617,7 @@ SPEC |= {
     ),
     "log_tail": (
         "runs", "",
-        pick("logged_at_utc, run_id, symbol", "val_f1_macro", "(SELECT * FROM (SELECT * FROM runs ORDER BY logged_at_utc DESC LIMIT 500) WHERE symbol = 'CLICK' ORDER BY logged_at_utc DESC LIMIT 5)"),
+        pick("logged_at_utc, run_id, symbol", "val_f1_macro", "(SELECT * FROM runs WHERE symbol = 'CLICK' ORDER BY logged_at_utc DESC LIMIT 5)"),
     ),
     "backfilled_trials": (
         "runs", "",
