@@ -15,6 +15,7 @@ bounded sample of them (`sample` rows, the ones with the smallest hash) turns th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from barwright.llm.words import SLICE_BYTES, U, Words, mix, slices
 
 ORDER, SHARED, DISCOUNT = 6, 1, 0.75
 CELLS = 1 << 20
+BLOCK = 1 << 16
 SPACE = 32
 CLASSES = ("toxic", "plain")
 
@@ -124,17 +126,32 @@ class Model:
                         names=["kind", "cell", "a", "b", "c", "x", "y", "z"],
                     )
 
+        def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in it:
+                block, at = b.column(0).to_numpy(), b.column(1).to_numpy() % BLOCK
+                values = np.stack([b.column(k).to_numpy() for k in range(2, 8)], axis=1)
+                for k in np.unique(block):
+                    rows = block == k
+                    held.setdefault(int(k), np.zeros((BLOCK, 6), np.float32))[at[rows]] = values[rows]
+            if held:
+                blobs = [zlib.compress(x.tobytes(), 1) for x in held.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "sums"])
+
         schema = "kind int, cell long, a long, b long, c long, x long, y long, z long"
-        rows = grams.mapInArrow(cells, schema).groupBy("kind", "cell").agg(
+        sums = grams.mapInArrow(cells, schema).groupBy("kind", "cell").agg(
             *(F.sum(n).cast("float").alias(n) for n in ("a", "b", "c", "x", "y", "z"))
-        ).toPandas()
-        self.count = np.zeros((CELLS, 3), np.float32)
-        self.total = np.zeros((CELLS, 3), np.float32)
-        self.kinds = np.zeros((CELLS, 3), np.float32)
-        g, h = rows[rows.kind == 0], rows[rows.kind == 1]
-        self.count[g.cell] = g[["a", "b", "c"]]
-        self.total[h.cell] = h[["a", "b", "c"]]
-        self.kinds[h.cell] = h[["x", "y", "z"]]
+        )
+        place = (F.col("kind") * CELLS + F.col("cell")).alias("place")
+        sums = sums.select(place, "a", "b", "c", "x", "y", "z").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+        # whole blocks of numbers come to the driver, not rows
+        packed = sums.select("block", "place", "a", "b", "c", "x", "y", "z").repartition(2 * CELLS // BLOCK, "block")
+        table = np.zeros((2 * CELLS, 6), np.float32)
+        for r in packed.mapInArrow(blocks, "block int, sums binary").collect():
+            table[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.sums), np.float32).reshape(BLOCK, 6)
+        self.count = table[:CELLS, :3].copy()
+        self.total = table[CELLS:, :3].copy()
+        self.kinds = table[CELLS:, 3:].copy()
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """words x 2: log-likelihood of each word's bytes and its end under both classes."""
