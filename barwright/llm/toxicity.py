@@ -9,8 +9,9 @@ The n-gram tables are Spark tables and grow with the corpus. What is sent to the
 cells, a few numbers for each: the size is bounded, and n-grams that meet in a cell are added up, never dropped. A text's
 log-likelihoods are computed where the text is, once for each different word of a batch.
 
-The class log-likelihoods, per byte, are compared on training rows kept out of the counts; a logistic curve through a
-bounded sample of them (`sample` rows, the ones with the smallest hash) turns the difference into a score.
+The class log-likelihoods are compared per byte over the whole text and over its most toxic word and run of PASSAGE
+words, since a long text may be toxic in a few words. On training rows kept out of the counts, a logistic curve through a
+bounded sample of them (`sample` rows, the ones with the smallest hash) turns the comparisons into a score.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ CELLS = 1 << 20
 BLOCK = 1 << 16
 SPACE = 32
 CLASSES = ("toxic", "plain")
+PASSAGE = 8
+#: a word counts as toxic by so much in log-likelihood
+MARGIN = 2.0
+LIKELIHOODS = ["toxic_ll", "plain_ll", "n_bytes", "n_words", "peak", "passage", "excess"]
 
 
 def words_of(text: Column) -> Column:
@@ -173,8 +178,21 @@ class Model:
         return np.stack([np.bincount(word, logs[:, j], len(words)) for j in range(2)], axis=1)
 
 
+def largest(values: np.ndarray, words: Words, texts: int) -> np.ndarray:
+    """The largest value of each text's words; 0 without words."""
+    out = np.zeros(texts)
+    some = words.count > 0
+    if some.any():
+        out[some] = np.maximum.reduceat(values, words.first[:-1][some])
+    return out
+
+
 def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, toxic_ll, plain_ll, n_bytes, n_words for every row; no shuffle."""
+    """doc_id and LIKELIHOODS for every row; no shuffle.
+
+    peak and passage: the largest difference of a word, and of PASSAGE words in a row (or all, if fewer); excess: the sum
+    of what the differences of single words exceed MARGIN by.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +209,22 @@ def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
                 n = hi - lo
                 ll = [np.bincount(w.doc, logs[inverse, j], n) for j in range(2)]
                 size = np.bincount(w.doc, (w.end - w.start + 1).astype(float), n)
+                more = logs[inverse, 0] - logs[inverse, 1]
+                total = np.concatenate([[0.0], np.cumsum(more)])
+                begin = np.arange(len(more))
+                run = total[np.minimum(begin + PASSAGE, w.first[1:][w.doc])] - total[begin]
+                excess = np.bincount(w.doc, np.maximum(more - MARGIN, 0.0), n)
+                columns = (*ll, size, w.count.astype(float), largest(more, w, n), largest(run, w, n), excess)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), *(pa.array(x) for x in (*ll, size, w.count.astype(float)))],
-                    names=["doc_id", "toxic_ll", "plain_ll", "n_bytes", "n_words"],
+                    [b.column(0).slice(lo, n), *(pa.array(x) for x in columns)], names=["doc_id", *LIKELIHOODS]
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        batches, "doc_id long, toxic_ll double, plain_ll double, n_bytes double, n_words double"
+        batches, ", ".join(["doc_id long", *(f"{c} double" for c in LIKELIHOODS)])
     )
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
     """Ridge logistic weights by Newton steps; the first column of x is the constant."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -217,10 +240,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 
 def contrast() -> list[Column]:
-    """The log-likelihood difference per byte, and the same in units of its spread, which falls with the root of length."""
+    """The log-likelihood difference per byte, the same in units of its spread, which falls with the root of length, and
+    the differences of the most toxic words, which grow with the number of words."""
     per_byte = (F.col("toxic_ll") - F.col("plain_ll")) / F.greatest(F.col("n_bytes"), F.lit(1.0))
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1.0)))
-    return [per_byte * 10, per_byte * root, F.log1p("n_words")]
+    return [per_byte * 10, per_byte * root, F.log1p("n_words"), F.col("peak"), F.col("passage"), F.log1p("excess")]
 
 
 def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_000) -> DataFrame:
