@@ -194,7 +194,9 @@ def upsert_bars(spark: SparkSession, new: DataFrame, path: str) -> bool:
         write_bars(new, path)
         return True
     touched = new.select("interval", "session_date").distinct()
-    same_days = stored.join(touched, ["interval", "session_date"], "left_semi")
+    # the dates of a batch, at most one for each day of its look-back, as literals that prune the stored partitions
+    dates = [r.session_date for r in touched.select("session_date").distinct().collect()]
+    same_days = stored.where(F.col("session_date").isin(dates)).join(touched, ["interval", "session_date"], "left_semi")
     write_bars(merge_bars(same_days, new, keys=("symbol", "interval", "ts")), path)
     return True
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barwright.config import ExperimentConfig
 from barwright.functions.calendar import in_local_window
+from barwright.functions.expr import finite
 from barwright.operators.features import feature_matrix, warmup_bars
 from barwright.operators.labels import entry_geometry
 from barwright.operators.positions import with_session
@@ -33,8 +34,8 @@ def tick_stream(spark: SparkSession, path: str, schema: T.StructType = TICK_SCHE
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_bars(ticks: DataFrame, cfg: ExperimentConfig, *, seconds: int = 60) -> DataFrame:
-    """Tumbling bars of (symbol, ts, price, size) ticks.
+def stream_bars(ticks: DataFrame, cfg: ExperimentConfig, *, seconds: int = 60, tie: str | None = None) -> DataFrame:
+    """Tumbling bars of (symbol, ts, price, size) ticks; `tie` orders ticks of one time, as in `bars_from_ticks`.
 
     The watermark is the configured look-back, so later ticks are late data and state stays
     bounded; ticks outside the local session window are dropped.
@@ -42,16 +43,17 @@ def stream_bars(ticks: DataFrame, cfg: ExperimentConfig, *, seconds: int = 60) -
     live = cfg.live
     open_now = in_local_window("ts", cfg.exchange_timezone, live.session_start_local, live.session_end_local)
     late = f"{live.refresh_lookback_calendar_days} days"
+    order = F.struct("ts", tie) if tie is not None else F.col("ts")
     grouped = (
-        ticks.where(open_now & F.col("price").isNotNull())
+        ticks.withColumn("price", finite("price")).where(open_now & F.col("price").isNotNull())
         .withWatermark("ts", late)
         .groupBy("symbol", F.window("ts", f"{seconds} seconds").alias("w"))
     )
     bars = grouped.agg(
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", order).alias("close"),
         F.sum("size").alias("volume"),
     )
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
