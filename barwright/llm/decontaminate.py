@@ -1,10 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the passages.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores the passages.
 
 1. A bit filter of fixed size holds the items' n-grams. Each document is read once; runs of n-grams that pass the filter,
    with the words around them, are its passages. Text that shares nothing with an item is never shuffled.
-2. Passages and their n-grams meet the items' n-grams in a join. An item's seeds are its rare ones: held by at most
-   twice as many different passages as its middle one, so frequent wording does not pair passages with items. Rarity is
-   relative to the item: one that was copied very often keeps its seeds.
+2. Passages and their n-grams meet the items' n-grams in a join; every shared n-gram makes a pair.
 3. Each different (passage, item) pair is aligned once by Smith-Waterman over words. `score` is the alignment score over
    that of the whole item; edits, insertions and left-out words lower it but do not break the alignment.
 """
@@ -159,11 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, gram: int = GRAM, around:
     # equal passages are one from here on; documents come back at the end
     once = written(found.select("passage_key", "passage", "tokens").dropDuplicates(["passage_key"]), "different")
     tokens = once.select("passage_key", F.explode(F.array_distinct("tokens")).alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("held"))
-    counted = grams.join(held, "token")
-    middle = counted.groupBy("item_id").agg(F.median("held").alias("middle"))
-    seeds = counted.join(middle, "item_id").where("held <= 2 * middle").select("item_id", "token")
-    pairs = tokens.join(seeds, "token").select("passage_key", "item_id").distinct()
+    pairs = tokens.join(grams.select("item_id", "token"), "token").select("passage_key", "item_id").distinct()
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).distinct()
     pairs = pairs.join(texts, "item_id").join(once.select("passage_key", "passage"), "passage_key")
     # the alignments are dealt evenly: they cost far more than their rows weigh
