@@ -5,8 +5,8 @@ of their class. The long orders (SHARED + 1 to ORDER) are counted for each class
 both classes back off to the same counts and a rare expression differs only by what its class has seen of it. Below the
 highest order, and except at the start of a word, an n-gram counts the different bytes that come before it.
 
-The n-gram tables are Spark tables and grow with the corpus. What is sent to the tasks is their sum over CELLS hashed
-cells, a few numbers for each: the size is bounded, and n-grams that meet in a cell are added up, never dropped. A text's
+The n-gram tables are Spark tables and grow with the corpus. What is sent to the tasks are their exact counts, as far as an
+order is read: they grow with the different n-grams of the labelled rows, and no n-gram reads the count of another. A text's
 log-likelihoods are computed where the text is, once for each different word of a batch.
 
 The class log-likelihoods are compared per byte over the whole text and over its most toxic word and run of PASSAGE
@@ -28,8 +28,6 @@ from barwright.llm.tables import written
 from barwright.llm.words import SLICE_BYTES, U, Words, mix, slices
 
 ORDER, SHARED, DISCOUNT = 6, 3, 0.75
-CELLS = 1 << 20
-BLOCK = 1 << 16
 SPACE = 32
 CLASSES = ("toxic", "plain")
 PASSAGE = 8
@@ -60,10 +58,6 @@ def gram_codes(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return np.where(place >= k - 1, code, -1)
 
 
-def cell(code: np.ndarray, order: int) -> np.ndarray:
-    return (mix(code.astype(U) * U(0x9E3779B97F4A7C15) + U(order)) & U(CELLS - 1)).astype(np.int64)
-
-
 def word_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """word, toxic, plain, whole: rows of each class and of the corpus that hold it, combined before the shuffle.
 
@@ -115,48 +109,70 @@ def gram_table(words: DataFrame) -> DataFrame:
     return out
 
 
+class Table:
+    """Exact counts by key in an open-addressed table; an absent key reads zeros. Its size follows the number of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = (1 << max(4, (2 * len(keys)).bit_length())) - 1
+        self.slots = np.zeros(self.mask + 1, np.int32)  # number of the key and one, 0: free
+        # a key and a row of zeros stand for absent keys
+        self.keys = np.concatenate([[-1], keys]).astype(np.int64)
+        self.values = np.concatenate([np.zeros((1, values.shape[1]), np.float32), values.astype(np.float32)])
+        left = np.arange(1, len(keys) + 1)
+        at = self.home(keys)
+        while len(left):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = left[free]  # of several keys the last one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(U) * U(0x9E3779B97F4A7C15)) & U(self.mask)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of `values` for each key."""
+        at = self.home(keys)
+        out = self.slots[at]
+        left = np.flatnonzero((out > 0) & (self.keys[out] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            out[left] = self.slots[at[left]]
+            left = left[(out[left] > 0) & (self.keys[out[left]] != keys[left])]
+        return out
+
+
+def gathered(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a table with a column `key`; packed arrays come to the driver, not rows."""
+    def packs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                values = np.stack([b.column(k).to_numpy() for k in range(1, len(columns) + 1)], axis=1).astype(np.float32)
+                blobs = [b.column(0).to_numpy().astype(np.int64).tobytes(), values.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x, 1)], pa.binary()) for x in blobs], names=["keys", "counts"])
+
+    keys, values = [np.zeros(0, np.int64)], [np.zeros((0, len(columns)), np.float32)]
+    for r in df.select("key", *columns).mapInArrow(packs, "keys binary, counts binary").toLocalIterator():
+        keys.append(np.frombuffer(zlib.decompress(r.keys), np.int64))
+        values.append(np.frombuffer(zlib.decompress(r.counts), np.float32).reshape(-1, len(columns)))
+    return np.concatenate(keys), np.concatenate(values)
+
+
 class Model:
-    """Summed counts by hashed cell: of n-grams (count), and of contexts (total, kinds), for the classes and the corpus."""
+    """Counts of n-grams, and of contexts (total, kinds), for the classes and the corpus, as far as an order reads them.
+
+    Keys are the bytes of an n-gram or context with its order above them, so different ones never meet.
+    """
 
     def __init__(self, grams: DataFrame):
-        def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                order, code = b.column(0).to_numpy(), b.column(1).to_numpy()
-                c = [b.column(k).to_numpy() for k in (2, 3, 4)]
-                for kind, at in ((0, cell(code, 0) ^ cell(order.astype(np.int64), 1)), (1, cell(code >> 8, 2) ^ cell(order.astype(np.int64), 3))):
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, kind, np.int32)), pa.array(at), *(pa.array(x) for x in c),
-                         *(pa.array((x > 0).astype(np.int64)) for x in c)],
-                        names=["kind", "cell", "a", "b", "c", "x", "y", "z"],
-                    )
-
-        def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, np.ndarray] = {}
-            for b in it:
-                block, at = b.column(0).to_numpy(), b.column(1).to_numpy() % BLOCK
-                values = np.stack([b.column(k).to_numpy() for k in range(2, 8)], axis=1)
-                for k in np.unique(block):
-                    rows = block == k
-                    held.setdefault(int(k), np.zeros((BLOCK, 6), np.float32))[at[rows]] = values[rows]
-            if held:
-                blobs = [zlib.compress(x.tobytes(), 1) for x in held.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "sums"])
-
-        schema = "kind int, cell long, a long, b long, c long, x long, y long, z long"
-        sums = grams.mapInArrow(cells, schema).groupBy("kind", "cell").agg(
-            *(F.sum(n).cast("float").alias(n) for n in ("a", "b", "c", "x", "y", "z"))
+        read = [*CLASSES, "whole"]
+        grams = grams.where(
+            f"(order <= {SHARED} AND whole > 0) OR (order > {SHARED} AND ({' + '.join(CLASSES)}) > 0)"
         )
-        place = (F.col("kind") * CELLS + F.col("cell")).alias("place")
-        sums = sums.select(place, "a", "b", "c", "x", "y", "z").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
-        # whole blocks of numbers come to the driver, not rows
-        packed = sums.select("block", "place", "a", "b", "c", "x", "y", "z").repartition(2 * CELLS // BLOCK, "block")
-        table = np.zeros((2 * CELLS, 6), np.float32)
-        for r in packed.mapInArrow(blocks, "block int, sums binary").collect():
-            table[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.sums), np.float32).reshape(BLOCK, 6)
-        self.count = table[:CELLS, :3].copy()
-        self.total = table[CELLS:, :3].copy()
-        self.kinds = table[CELLS:, 3:].copy()
+        order = F.shiftleft(F.col("order").cast("long"), 48)
+        both = [c for r in read for c in (F.sum(r).alias(r), F.count_if(F.col(r) > 0).alias(f"{r}_kinds"))]
+        contexts = grams.groupBy((order + F.shiftright("code", 8)).alias("key")).agg(*both)
+        self.grams = Table(*gathered(grams.select((order + F.col("code")).alias("key"), *read), read))
+        self.contexts = Table(*gathered(contexts, [*read, *(f"{r}_kinds" for r in read)]))
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """words x 2: log-likelihood of each word's bytes and its end under both classes."""
@@ -165,10 +181,13 @@ class Model:
         for k in range(1, ORDER + 1):
             code = gram_codes(data, place, k)
             at = np.flatnonzero((code >= 0) & (place > 0))
-            o = np.full(len(at), k, np.int64)
-            c = self.count[cell(code[at], 0) ^ cell(o, 1)]
-            h = cell(code[at] >> 8, 2) ^ cell(o, 3)
-            t, kinds = self.total[h], self.kinds[h]
+            order = np.int64(k << 48)
+            counts = self.contexts.values[self.contexts.rows((code[at] >> 8) + order)]
+            # an n-gram is looked up only where its context was seen
+            some = np.flatnonzero(counts[:, 2] > 0 if k <= SHARED else counts[:, 0] + counts[:, 1] > 0)
+            at, counts = at[some], counts[some]
+            t, kinds = counts[:, :3], counts[:, 3:]
+            c = self.grams.values[self.grams.rows(code[at] + order)]
             for j in range(2):
                 col = 2 if k <= SHARED else j
                 total = np.maximum(t[:, col], 1e-9)
