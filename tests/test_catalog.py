@@ -20,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    verdict, _, _ = differences(spark, con, SF, name)
+    verdict, _, _ = differences(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name])
     assert verdict.startswith("ok"), verdict
 
 
