@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import decontaminate, extract, fingerprints, mixing, ngram_join, quality, repeats, sharding, toxicity, urls
+from barwright.llm import decontaminate, extract, fingerprints, line_dedup, mixing, ngram_join, quality, repeats, sharding, toxicity, urls
 from barwright.llm.tables import read
 
 
@@ -74,6 +74,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = line_dedup.LineIndex.empty(spark).insert(docs).cleaned(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -85,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_extraction": op9_extraction,
     "op10_url_filter": op10_url_filter,
+    "op11_line_dedup": op11_line_dedup,
 }

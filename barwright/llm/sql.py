@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from barwright.llm.line_dedup import CLEANED_SQL
 from barwright.llm.urls import judge_urls_sql
 
 
-ORACLES: dict[str, str] = {"op10_url_filter": judge_urls_sql()}
+ORACLES: dict[str, str] = {"op10_url_filter": judge_urls_sql(), "op11_line_dedup": CLEANED_SQL}
