@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import decontaminate, extract, fingerprints, line_dedup, mixing, ngram_join, quality, repeats, resample, sharding, toxicity, urls
+from barwright.llm import decontaminate, extract, fingerprints, line_dedup, mixing, negatives, ngram_join, quality, repeats, resample, sharding, toxicity, urls
 from barwright.llm.tables import read
 
 
@@ -80,6 +80,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.importance_draw(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -97,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_extraction": op9_extraction,
     "op10_url_filter": op10_url_filter,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_importance_resampling": op13_importance_resampling,
 }
