@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from barwright.config import FeatureConfig
 
 CHUNK_KEYS = ["symbol", "chunk"]
-SLIDING_ROWS = 32
 
 
 @dataclass(frozen=True)
@@ -64,42 +63,49 @@ def back(c: str, k: int) -> Column:
 def with_frames(d: DataFrame, frames: dict[str, Frame]) -> DataFrame:
     """Add the frames' columns to rows split by `with_halo`.
 
-    A sliding frame costs its length per row in Spark. Means and deviations over more than
-    `SLIDING_ROWS` bars are therefore differences of running totals, which cost the same for any
-    length; totals restart in every chunk, so they stay short enough not to lose digits. Medians
-    do need the frame's values.
+    Means and deviations come from two stacks: positions are cut into tiles as long as the frame, so a frame is the rest
+    of one tile, from its first row on, and the begin of the next. Both parts are running (count, mean, squared
+    deviation) and merge into those of the frame. A row costs the same for any length, nothing is subtracted, and no
+    value outside the frame takes part. Medians need the frame's values.
     """
-    upto = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    long = [f for f in frames.values() if f.kind != "median" and f.rows > SLIDING_ROWS]
-    moments = sorted({f.column for f in long})
-    squares = sorted({f.column for f in long if f.kind == "deviation"})
-    totals = {
-        **{f"_n{c}": F.count(c).over(upto) for c in moments},
-        **{f"_s{c}": F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for c in moments},
-        **{f"_q{c}": F.coalesce(F.sum(F.col(c) * F.col(c)).over(upto), F.lit(0.0)) for c in squares},
-    }
-    d = d.withColumns(totals) if totals else d
-
-    def last(total: str, rows: int) -> Column:
-        return F.col(total) - F.coalesce(back(total, rows), F.lit(0))
-
-    def value(f: Frame) -> Column:
+    moments: dict[int, dict[str, bool]] = {}
+    for f in frames.values():
+        if f.kind != "median":
+            spread = moments.setdefault(f.rows, {})
+            spread[f.column] = spread.get(f.column, False) or f.kind == "deviation"
+    tiles = {f"_tile{n}": F.floor(F.col("pos") / n) for n in moments}
+    made, rest = list(tiles), {}
+    d = d.withColumns(tiles) if tiles else d
+    for n, columns in moments.items():
+        for side, order in (("p", F.asc("pos")), ("s", F.desc("pos"))):
+            w = Window.partitionBy(*CHUNK_KEYS, f"_tile{n}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            parts = {}
+            for c, deviation in columns.items():
+                kinds = {"n": F.count(c), "m": F.avg(c)} | ({"v": F.var_pop(c)} if deviation else {})
+                parts |= {f"_{side}{k}{n}{c}": agg.over(w) for k, agg in kinds.items()}
+                if side == "s":
+                    rest |= {f"_l{k}{n}{c}": back(f"_s{k}{n}{c}", n - 1) for k in kinds}
+            d = d.withColumns(parts)
+            made += parts
+    d = d.withColumns(rest) if rest else d
+    made += rest
+
+    def moment(f: Frame) -> Column:
         n, c = f.rows, f.column
-        w = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(1 - n, 0)
-        if f.kind != "median" and n <= SLIDING_ROWS:
-            agg = F.avg(c) if f.kind == "mean" else F.stddev_samp(c)
-            return F.when(F.count(c).over(w) == n, agg.over(w))
-        if f.kind == "median":
-            seen = F.sort_array(F.collect_list(c).over(w))
-            return F.when(
-                F.size(seen) == n, (F.get(seen, F.lit((n - 1) // 2)) + F.get(seen, F.lit(n // 2))) / 2.0
-            )
-        total = last(f"_s{c}", n)
+        whole = F.pmod(F.col("pos"), F.lit(n)) == n - 1  # the frame is one tile
+        n1 = F.when(whole, F.lit(0)).otherwise(F.coalesce(f"_ln{n}{c}", F.lit(0)))
+        n2 = F.col(f"_pn{n}{c}")
+        m1, m2 = F.when(n1 > 0, F.col(f"_lm{n}{c}")).otherwise(0.0), F.coalesce(f"_pm{n}{c}", F.lit(0.0))
         if f.kind == "mean":
-            stat = total / n
-        else:
-            spread = last(f"_q{c}", n) - total * total / n
-            stat = F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))
-        return F.when(last(f"_n{c}", n) == n, stat)
+            return F.when(n1 + n2 == n, (n1 * m1 + n2 * m2) / n)
+        v1, v2 = F.when(n1 > 0, F.col(f"_lv{n}{c}")).otherwise(0.0), F.coalesce(f"_pv{n}{c}", F.lit(0.0))
+        squares = n1 * v1 + n2 * v2 + (m2 - m1) * (m2 - m1) * n1 * n2 / n
+        return F.when(n1 + n2 == n, F.sqrt(F.try_divide(squares, F.lit(n - 1.0))))
+
+    def median(f: Frame) -> Column:
+        n = f.rows
+        w = Window.partitionBy(*CHUNK_KEYS).orderBy("pos").rowsBetween(1 - n, 0)
+        seen = F.sort_array(F.collect_list(f.column).over(w))
+        return F.when(F.size(seen) == n, (F.get(seen, F.lit((n - 1) // 2)) + F.get(seen, F.lit(n // 2))) / 2.0)
 
-    return d.withColumns({k: value(f) for k, f in frames.items()}).drop(*totals)
+    return d.withColumns({k: median(f) if f.kind == "median" else moment(f) for k, f in frames.items()}).drop(*made)

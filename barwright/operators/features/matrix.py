@@ -14,7 +14,7 @@ from barwright.operators.features import session, technical
 from barwright.operators.features.group import with_frames
 from barwright.operators.features.market import with_market_context
 from barwright.operators.features.registry import feature_columns, groups, warmup_bars
-from barwright.operators.positions import drop_halo, slot_table, with_halo, with_positions, with_prev_close
+from barwright.operators.positions import SLOT_KEYS, chunk_size, own_rows, slot_table, with_halo, with_positions, with_prev_close
 
 CHUNK_ROWS = 4096
 LABEL_FIELDS = (
@@ -60,8 +60,8 @@ def _complete(bars: DataFrame) -> DataFrame:
 def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | None = None) -> DataFrame:
     """Bars with positions and every column the enabled groups' final stage reads.
 
-    `marks` (symbol, ts, label) are attached to the bars; side tables are built from the bars
-    alone.
+    `marks` (symbol, ts, label) are attached to the bars, and only marked rows with a close are returned; side tables are
+    built from the bars alone. Bars are dealt out by chunk once: frames, averages and the final stage share it.
     """
     bars = _complete(bars)
     gs = groups(fc)
@@ -71,17 +71,22 @@ def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | No
     d = with_positions(marked, slots, *carried)
     if fc.vwap_distance:
         d = session.with_session_vwap(d)
-    if fc.technical_indicators:
-        narrow = d if marks is None else with_positions(bars, slots, *carried)
-        d = technical.with_technical_columns(with_prev_close(d), with_prev_close(narrow), fc)
     base = {k: c for g in gs.values() for k, c in g.base.items()}
     frames = {k: c for g in gs.values() for k, c in g.frames.items()}
-    if base or frames:
-        d = with_halo(d, max(g.reach for g in gs.values()), chunk_rows=CHUNK_ROWS)
+    reach = max((g.reach for g in gs.values()), default=0)
+    size = chunk_size(reach, CHUNK_ROWS)
+    chunked = bool(base or frames or fc.technical_indicators)
+    if chunked:
+        d = with_halo(d, reach, chunk_rows=CHUNK_ROWS)
         d = d.withColumns(base) if base else d
         d = with_frames(d, frames) if frames else d
-        d = drop_halo(d)
-    return d
+        d = own_rows(d)
+    if marks is not None:
+        d = d.where(F.col("label").isNotNull() & F.col("close").isNotNull())
+    if fc.technical_indicators:
+        closes = with_prev_close(with_positions(bars.select(*SLOT_KEYS, "ts", "close"), slots, "slot_prev_close"))
+        d = technical.with_technical_columns(d, technical.technical_blocks(closes, fc, size), fc, size)
+    return d.drop("chunk") if chunked else d
 
 
 def _project(d: DataFrame, fc: FeatureConfig, *kept: str) -> DataFrame:
@@ -129,7 +134,7 @@ def feature_matrix(
         labels = labels.join(closes, ["symbol", "entry_time"])
     fields = [c for c in LABEL_FIELDS if c in labels.columns]
     marks = labels.select("symbol", F.col("entry_time").alias("ts"), F.struct(*fields).alias("label"))
-    d = _with_bar_features(bars, fc, marks).where(F.col("label").isNotNull() & F.col("close").isNotNull())
+    d = _with_bar_features(bars, fc, marks)
     d = d.where(F.col("pos") >= warmup_bars(fc)).select("*", "label.*").drop("label")
     if fc.market_context:
         d = with_market_context(d, index_bars, proxy_daily, fc)

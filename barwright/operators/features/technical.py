@@ -1,155 +1,88 @@
 """Exponential averages, relative strength and MACD.
 
-An exponential average is a linear recurrence, which no frame expresses. With q = 1 - alpha,
-
-    y[p] = q^(p - s) x[s] + alpha * sum over s < i <= p of q^(p - i) x[i],
-
-where s is the first position with a value. Positions are cut into blocks; inside a block the
-sum is a running sum of x[i] / q^i (i counted from the block start), and each earlier block enters
-through its own total, damped by q per row. Block totals are one row per block; totals whose
-weight is below 2^-64 cannot change a double and are left out, which bounds the look-back to a
-few blocks. Work is spread by (symbol, block).
+The averages are recurrences over all earlier bars, missing closes included; `operators.scan` says how they are cut into
+blocks. Bars are not moved for them: only (symbol, pos, close, prev_close) go through the scan, a block's averages come
+back as one row of arrays, and the bars, already dealt out by the same blocks for their trailing frames, pick their own.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
 from barwright.functions.expr import EPS, clip_lower, div
+from barwright.operators import scan
 from barwright.operators.features.group import Group
-from barwright.operators.positions import drop_halo, with_halo
+from barwright.operators.scan import Average, span_alpha
 
-LOG_SCALE_LIMIT = 460.0  # q^-rows stays below about 1e200 inside a block
-LOG_NEGLIGIBLE = 64 * math.log(2.0)
+LINE = "_macd"
 
 
-@dataclass(frozen=True)
-class Ema:
-    """Average of `value`, whose first non-null position is `start`, into column `name`."""
-
-    name: str
-    value: str
-    alpha: float
-    start: int
-    min_periods: int
-
-    @property
-    def decay(self) -> float:
-        return -math.log1p(-self.alpha)
-
-
-def span_alpha(span: int) -> float:
-    return 2.0 / (span + 1.0)
-
-
-def block_rows(specs: list[Ema]) -> int:
-    """Largest power of two, at most 4096, that keeps every scale factor finite."""
-    limit = min(LOG_SCALE_LIMIT / s.decay for s in specs)
-    return min(4096, 2 ** int(math.log2(limit)))
-
-
-@dataclass(frozen=True)
-class Level:
-    """Averages that read the same input columns, evaluated over blocks of `size` rows."""
-
-    specs: list[Ema]
-    size: int
-
-    def _term(self, s: Ema) -> Column:
-        """Scaled weight times value; null before the series starts.
-
-        A null after `start` is refused, because the weights would no longer depend on position
-        alone.
-        """
-        x = F.col(s.value)
-        message = F.concat(F.lit(f"{s.value} is null inside the series of "), F.col("symbol"))
-        k = F.pmod("pos", F.lit(self.size))
-        weight = F.when(F.col("pos") == s.start, 1.0).otherwise(s.alpha) * F.exp(k * s.decay)
-        return F.when(F.col("pos") >= s.start, F.coalesce(x, F.raise_error(message).cast("double")) * weight)
-
-    def carries(self, d: DataFrame) -> DataFrame:
-        """(symbol, _block, carry): every average at the end of the block before.
-
-        Block totals are plain sums, combined before the shuffle. They travel as one array so
-        that every use of them is the same plan, whichever averages it goes on to read.
-        """
-        last = self.size - 1.0
-        ends = [F.coalesce(F.sum(self._term(s)), F.lit(0.0)) * math.exp(-last * s.decay) for s in self.specs]
-        totals = d.groupBy("symbol", "_block").agg(F.array(*ends).alias("t"))
-        depth = max(math.ceil(LOG_NEGLIGIBLE / (self.size * s.decay)) for s in self.specs)
-        before = Window.partitionBy("symbol", "chunk").orderBy("_block").rowsBetween(-depth, -1)
-        damp = F.array(*[F.lit(math.exp(-self.size * s.decay)) for s in self.specs])
-        none = F.array(*[F.lit(0.0) for _ in self.specs])
-        seen = with_halo(totals, depth, pos="_block", chunk_rows=4096).withColumn("seen", F.collect_list("t").over(before))
-        carry = F.aggregate(
-            "seen", none, lambda acc, t: F.transform(acc, lambda a, i: a * F.get(damp, i) + F.get(t, i))
-        )
-        return drop_halo(seen).select("symbol", "_block", carry.alias("carry"))
-
-    def apply(self, d: DataFrame, carries: DataFrame) -> DataFrame:
-        """Add the averages, null before `min_periods` values, to rows shuffled by `in_blocks`."""
-        inside = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        local = d.withColumns({f"_l{s.name}": F.sum(self._term(s)).over(inside) for s in self.specs})
-        k = F.pmod("pos", F.lit(self.size))
-        values = {
-            s.name: F.when(
-                F.col("pos") >= s.start + s.min_periods - 1,
-                F.col(f"_l{s.name}") * F.exp(-k * s.decay) + F.get("carry", F.lit(i)) * F.exp(-(k + 1) * s.decay),
-            )
-            for i, s in enumerate(self.specs)
-        }
-        used = [f"_l{s.name}" for s in self.specs]
-        return local.join(carries, ["symbol", "_block"]).withColumns(values).drop("carry", *used)
-
-
-def block_number(size: int) -> Column:
-    return F.floor(F.col("pos") / size)
-
-
-def in_blocks(d: DataFrame, size: int) -> DataFrame:
-    return d.withColumn("_block", block_number(size)).repartition("symbol", "_block")
-
-
-def with_emas(df: DataFrame, specs: list[Ema]) -> DataFrame:
-    """Add one column per spec to a frame with symbol and a gap-free `pos`."""
-    level = Level(specs, block_rows(specs))
-    values = sorted({s.value for s in specs})
-    carries = level.carries(df.select("symbol", "pos", *values).withColumn("_block", block_number(level.size)))
-    return level.apply(in_blocks(df, level.size), carries).drop("_block")
-
-
-def with_technical_columns(d: DataFrame, closes: DataFrame, fc: FeatureConfig) -> DataFrame:
-    """Add the averages behind the indicators to bars with pos, close and prev_close.
-
-    Block totals come from `closes`, the same bars with as few columns as possible. Both levels
-    use one block size, so the bars themselves are shuffled once for both.
-    """
-    fast, slow, signal = fc.macd_fast_bars, fc.macd_slow_bars, fc.macd_signal_bars
+def first_averages(fc: FeatureConfig) -> list[Average]:
     n = fc.rsi_window_bars
-    spans = sorted({*fc.ema_windows_bars, fast, slow})
-    first = [Ema(f"_ema_{w}", "close", span_alpha(w), 0, w) for w in spans]
-    first += [Ema("_avg_gain", "_gain", 1.0 / n, 1, n), Ema("_avg_loss", "_loss", 1.0 / n, 1, n)]
-    second = [Ema("_macd_signal", "_macd", span_alpha(signal), slow - 1, signal)]
-    size = block_rows(first + second)
-    one, two = Level(first, size), Level(second, size)
-
-    move = F.col("close") - F.col("prev_close")
-    moves = {
-        "_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
-        "_loss": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))),
-    }
-    line = F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}")
-
-    narrow = closes.select("symbol", "pos", "close", "prev_close")
-    ends_one = one.carries(narrow.withColumns({"_block": block_number(size), **moves}))
-    line_only = one.apply(in_blocks(narrow, size).withColumns(moves), ends_one).withColumn("_macd", line)
-    wide = one.apply(in_blocks(d, size).withColumns(moves), ends_one).withColumn("_macd", line)
-    return two.apply(wide, two.carries(line_only)).drop("_block", "_gain", "_loss")
+    spans = sorted({*fc.ema_windows_bars, fc.macd_fast_bars, fc.macd_slow_bars})
+    return [Average(f"_ema_{w}", "close", span_alpha(w), w) for w in spans] + [
+        Average("_avg_gain", "gain", 1.0 / n, n), Average("_avg_loss", "loss", 1.0 / n, n),
+    ]
+
+
+def signal_average(fc: FeatureConfig) -> list[Average]:
+    return [Average("_macd_signal", LINE, span_alpha(fc.macd_signal_bars), fc.macd_signal_bars)]
+
+
+def price_series(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    close = pdf["close"].to_numpy(float)
+    move = close - pdf["prev_close"].to_numpy(float)
+    return {"close": close, "gain": np.maximum(move, 0.0), "loss": np.maximum(-move, 0.0)}
+
+
+def average_columns(fc: FeatureConfig) -> list[str]:
+    return [s.name for s in first_averages(fc)] + [LINE, "_macd_signal"]
+
+
+def technical_blocks(closes: DataFrame, fc: FeatureConfig, size: int) -> DataFrame:
+    """(symbol, chunk, one array for each average): from bars with pos, close and prev_close, `size` rows a block."""
+    first, second = first_averages(fc), signal_average(fc)
+    fast, slow = f"_ema_{fc.macd_fast_bars}", f"_ema_{fc.macd_slow_bars}"
+    macd = [i for i, s in enumerate(first) if s.name in (fast, slow)]
+    rows = scan.in_blocks(closes.select("symbol", "pos", "close", "prev_close"), size)
+    one = scan.carries(scan.block_maps(rows, first, price_series), first)
+
+    def values(pdf: pd.DataFrame, before: np.ndarray, which: list[int]) -> dict[str, np.ndarray]:
+        x, start = price_series(pdf), int(pdf["pos"].iloc[0])
+        return {first[i].name: scan.run_values(x[first[i].value], start, first[i], before[:, i]) for i in which}
+
+    def line_maps(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        v = values(pdf, scan.state_before(carry, first), macd)
+        run = scan.run_map(v[fast] - v[slow], int(pdf["pos"].iloc[0]), second[0].alpha)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "run": [run]})
+
+    def fill(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        v = values(pdf, scan.state_before(carry, first), list(range(len(first))))
+        v[LINE] = v[fast] - v[slow]
+        before = scan.state_before(carry, second, "before_line", "start_line")
+        v["_macd_signal"] = scan.run_values(v[LINE], int(pdf["pos"].iloc[0]), second[0], before[:, 0])
+        keys = {"symbol": pdf["symbol"].iloc[:1].to_list(), "chunk": pdf["chunk"].iloc[:1].to_list()}
+        return pd.DataFrame(keys | {k: [x] for k, x in v.items()})
+
+    keys = scan.key_types(rows)
+    by_block = rows.groupBy("symbol", "chunk")
+    lines = by_block.cogroup(one.groupBy("symbol", "chunk")).applyInPandas(line_maps, f"{keys}, run array<double>")
+    both = one.join(scan.carries(lines, second, "before_line", "start_line"), ["symbol", "chunk"])
+    schema = ", ".join([keys, *[f"{c} array<double>" for c in average_columns(fc)]])
+    return by_block.cogroup(both.groupBy("symbol", "chunk")).applyInPandas(fill, schema)
+
+
+def with_technical_columns(d: DataFrame, blocks: DataFrame, fc: FeatureConfig, size: int) -> DataFrame:
+    """Add the averages behind the indicators to bars with pos and `chunk`, the block they lie in."""
+    names = {c: f"{c}_block" for c in average_columns(fc)}
+    d = d.join(blocks.withColumnsRenamed(names), ["symbol", "chunk"])
+    return d.withColumns({c: scan.place(b, size) for c, b in names.items()}).drop(*names.values())
 
 
 def technical_indicators(fc: FeatureConfig) -> Group:

@@ -95,6 +95,11 @@ def with_prev_close(positioned: DataFrame) -> DataFrame:
     )
 
 
+def chunk_size(reach: int, chunk_rows: int) -> int:
+    """Rows of a chunk: enough that the rows it shares with the next are an eighth of it at most."""
+    return max(chunk_rows, 8 * reach)
+
+
 def with_halo(df: DataFrame, reach: int, *, pos: str = "pos", chunk_rows: int = 16384) -> DataFrame:
     """Split each symbol into `chunk`s of rows, each led by the `reach` rows before it.
 
@@ -102,7 +107,7 @@ def with_halo(df: DataFrame, reach: int, *, pos: str = "pos", chunk_rows: int =
     (symbol, chunk): one symbol is spread over many tasks. Rows flagged `halo` only feed the
     frames and are removed by `drop_halo`. The overhead is reach / chunk_rows.
     """
-    size = max(chunk_rows, 8 * reach)
+    size = chunk_size(reach, chunk_rows)
     own = F.floor(F.col(pos) / size)
     feeds_next = F.pmod(F.col(pos), F.lit(size)) >= size - reach
     chunks = F.when(feeds_next, F.array(own, own + 1)).otherwise(F.array(own))
@@ -110,7 +115,12 @@ def with_halo(df: DataFrame, reach: int, *, pos: str = "pos", chunk_rows: int =
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("halo")).drop("halo", "chunk")
+    return own_rows(df).drop("chunk")
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """The rows that belong to their chunk, which stays as a column."""
+    return df.where(~F.col("halo")).drop("halo")
 
 
 def running_sums(

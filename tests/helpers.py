@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from barwright.operators.positions import with_session
 
@@ -51,4 +52,7 @@ def walk(days: int, per_day: int, seed: int, symbol="AAA", scale=0.004) -> pd.Da
 
 
 def bars_of(spark, pdf: pd.DataFrame, tz: str = "UTC"):
-    return with_session(spark.createDataFrame(pdf.assign(ts=pdf["ts"].dt.tz_convert("UTC").dt.tz_localize(None))), tz)
+    """Session-dated bars; NaN in the frame is a missing value."""
+    d = spark.createDataFrame(pdf.assign(ts=pdf["ts"].dt.tz_convert("UTC").dt.tz_localize(None)))
+    doubles = [f.name for f in d.schema.fields if f.dataType.typeName() == "double"]
+    return with_session(d.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in doubles}), tz)

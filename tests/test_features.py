@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.config import FEATURE_GROUPS, ExperimentConfig, FeatureConfig
-from barwright.operators.features import feature_columns, feature_matrix, feature_table, matrix, split_by_session, technical
+from barwright.operators import scan
+from barwright.operators.features import feature_columns, feature_matrix, feature_table, matrix, split_by_session
+from barwright.operators.positions import with_positions
 from barwright.operators.volatility import daily_last_close
 from tests.helpers import bars_of, frame, session_times, walk
 
@@ -73,41 +75,110 @@ def test_five_bar_return(spark):
     assert math.isclose(got["ret_5m"][60], math.log(pdf["close"][60] / pdf["close"][55]))
 
 
-@pytest.mark.parametrize("limit", [460.0, 12.0])
-def test_averages_match_pandas(spark, monkeypatch, limit):
-    """The smaller limit makes blocks of a few rows, so carries reach back over many blocks."""
-    monkeypatch.setattr(technical, "LOG_SCALE_LIMIT", limit)
-    pdf = pd.concat([walk(4, 400, 1, "AAA"), walk(2, 100, 2, "BBB")])
+def pandas_averages(c: pd.Series) -> dict[str, pd.Series]:
+    ema = {n: c.ewm(span=n, adjust=False, min_periods=n).mean() for n in (9, 12, 21, 26, 50)}
+    move = c.diff()
+    up, down = (m.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for m in (move, -move))
+    line = ema[12] - ema[26]
+    signal = line.ewm(span=9, adjust=False, min_periods=9).mean()
+    want = {f"ema_dist_{n}m": (c - ema[n]) / ema[n] for n in (9, 21, 50)}
+    return want | {"rsi_14m": 1 - 1 / (1 + up / down.clip(lower=1e-12)), "macd_line": line, "macd_signal": signal, "macd_hist": line - signal}
+
+
+@pytest.mark.parametrize(("rows", "fan"), [(4096, 1024), (16, 3)])
+def test_averages_match_pandas(spark, monkeypatch, rows, fan):
+    """The smaller numbers make many blocks in many groups, so states travel through every level."""
+    monkeypatch.setattr(matrix, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(scan, "FAN", fan)
+    pdf = pd.concat([walk(4, 100, 1, "AAA"), walk(2, 100, 2, "BBB"), walk(1, 1, 3, "CCC")])
     got = table(spark, pdf, only("technical_indicators"))
     for sym, g in pdf.groupby("symbol"):
-        c = g["close"].reset_index(drop=True)
-        ema = {n: c.ewm(span=n, adjust=False, min_periods=n).mean() for n in (9, 12, 21, 26, 50)}
-        move = c.diff()
-        up, down = (m.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for m in (move, -move))
-        line = ema[12] - ema[26]
-        signal = line.ewm(span=9, adjust=False, min_periods=9).mean()
-        want = {f"ema_dist_{n}m": (c - ema[n]) / ema[n] for n in (9, 21, 50)}
-        want |= {"rsi_14m": 1 - 1 / (1 + up / down.clip(lower=1e-12)), "macd_line": line, "macd_signal": signal, "macd_hist": line - signal}
         mine = got[got["symbol"] == sym].reset_index(drop=True)
-        for name, w in want.items():
+        for name, w in pandas_averages(g["close"].reset_index(drop=True)).items():
             np.testing.assert_allclose(mine[name].to_numpy(dtype=float), w.to_numpy(), rtol=1e-9, atol=1e-11, err_msg=f"{sym} {name}")
 
 
-def test_shortest_span_keeps_blocks_finite(spark):
-    pdf = walk(3, 400, 9)
-    d = bars_of(spark, pdf)
-    from barwright.operators.positions import with_positions
-
-    out = technical.with_emas(with_positions(d), [technical.Ema("e", "close", technical.span_alpha(2), 0, 2)])
-    got = out.orderBy("pos").toPandas()["e"].astype(float)
-    np.testing.assert_allclose(got, pdf["close"].ewm(span=2, adjust=False, min_periods=2).mean(), rtol=1e-12)
-
-
-def test_a_missing_close_inside_a_series_is_refused(spark):
-    pdf = walk(1, 100, 1)
-    d = bars_of(spark, pdf).withColumn("close", F.when(F.minute("ts") != 45, F.col("close")))
-    with pytest.raises(Exception, match="null inside the series"):
-        feature_table(d, only("technical_indicators")).collect()
+@pytest.mark.parametrize("fan", [2, 1024])
+def test_averages_over_missing_closes_match_pandas(spark, monkeypatch, fan):
+    """Single gaps, gaps longer than a block, a missing first close, no close at all, and a bad print long ago."""
+    monkeypatch.setattr(matrix, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(scan, "FAN", fan)
+    rng = np.random.default_rng(5)
+    frames = [walk(3, 150, k, name) for k, name in enumerate(("AAA", "BBB", "CCC", "DDD"))]
+    frames[0].loc[rng.choice(450, 120, replace=False), "close"] = np.nan
+    frames[0].loc[0, "close"] = 1e9
+    frames[1].loc[:70, "close"] = np.nan
+    frames[1].loc[200:290, "close"] = np.nan
+    frames[2]["close"] = np.nan
+    frames[3].loc[1:448, "close"] = np.nan
+    got = table(spark, pd.concat(frames), only("technical_indicators"))
+    for g in frames:
+        sym = g["symbol"].iloc[0]
+        mine = got[got["symbol"] == sym].reset_index(drop=True)
+        for name, w in pandas_averages(g["close"].reset_index(drop=True)).items():
+            np.testing.assert_allclose(mine[name].to_numpy(dtype=float), w.to_numpy(), rtol=1e-8, atol=1e-10, err_msg=f"{sym} {name}")
+
+
+def test_averages_of_any_column(spark):
+    pdf = walk(3, 100, 9)
+    pdf.loc[[0, 3, 4, 250], "volume"] = np.nan
+    d = with_positions(bars_of(spark, pdf).withColumn("volume", F.nanvl("volume", F.lit(None))))
+    wanted = [scan.Average("e", "close", scan.span_alpha(2), 2), scan.Average("v", "volume", 0.01, 3), scan.Average("one", "close", 1.0, 1)]
+    got = scan.with_averages(d, wanted, size=32).orderBy("pos").toPandas()
+    for name, x, alpha, least in (("e", "close", 2 / 3, 2), ("v", "volume", 0.01, 3), ("one", "close", 1.0, 1)):
+        want = pdf[x].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-12, err_msg=name)
+
+
+def test_runs_join_in_any_grouping():
+    """The scan is associative: maps of neighbouring runs, joined left first or right first, give the same state."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=60)
+    x[rng.choice(60, 25, replace=False)] = np.nan
+    x[40:50] = np.nan
+    alpha = np.array([0.3])
+    cuts = [0, 7, 8, 20, 40, 50, 60]
+    runs = [np.array([scan.run_map(x[a:b], a, 0.3)]).T for a, b in zip(cuts, cuts[1:])]
+    left = right = None
+    for r in runs:
+        left = r if left is None else scan.joined(left, r, alpha)
+    for r in reversed(runs):
+        right = r if right is None else scan.joined(r, right, alpha)
+    zero = np.zeros((3, 1))
+    want = pd.Series(x).ewm(alpha=0.3, adjust=False).mean().iloc[-1]
+    for m in (left, right):
+        np.testing.assert_allclose(scan.advanced(zero, m, alpha)[2], want, rtol=1e-12)
+    step_by_step = zero
+    for r in runs:
+        step_by_step = scan.advanced(step_by_step, r, alpha)
+    np.testing.assert_allclose(step_by_step[2], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("w", [2, 10, 33, 120])
+def test_a_bad_print_before_the_frame_changes_nothing(spark, monkeypatch, w):
+    """One rule for all lengths: quiet prices after a print of 1e6 give their own small deviation."""
+    monkeypatch.setattr(matrix, "CHUNK_ROWS", 256)
+    pdf = walk(2, 390, 4, scale=1e-8)
+    pdf.loc[5, ["open", "high", "low", "close"]] = 1e6
+    fc = only("realized_vol_multi", "range_vol_multi", "order_flow_proxies", realized_vol_windows_bars=(w, 2 * w),
+              range_vol_window_bars=w, roll_window_bars=max(w, 2), amihud_window_bars=w)
+    got = table(spark, pdf, fc)
+    r = np.log(pdf["close"] / pdf["close"].shift(1))
+    clean = r[7:].rolling(w).std()
+    mine = got[f"rv_{w}m"].to_numpy(dtype=float)
+    np.testing.assert_allclose(mine[7 + w :], clean.to_numpy()[w:], rtol=1e-6)
+    park = (np.log(pdf["high"] / pdf["low"]) ** 2 / (4 * math.log(2)))
+    np.testing.assert_allclose(got[f"parkinson_{w}m"].to_numpy(dtype=float)[6 + w :], np.sqrt(park[6:].rolling(w).mean()).to_numpy()[w:], rtol=1e-6)
+
+
+def test_frames_with_missing_values_are_null(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "CHUNK_ROWS", 64)
+    pdf = walk(1, 300, 8)
+    pdf.loc[[40, 41, 130], "close"] = np.nan
+    got = table(spark, pdf, only("realized_vol_multi", realized_vol_windows_bars=(7, 50)))
+    r = np.log(pdf["close"] / pdf["close"].shift(1))
+    for w in (7, 50):
+        np.testing.assert_allclose(got[f"rv_{w}m"].to_numpy(dtype=float), r.rolling(w).std().to_numpy(), rtol=1e-9)
 
 
 def test_session_clock(spark):
