@@ -29,11 +29,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from barwright.llm.cuckoo import Chain
 from barwright.llm.tables import shared_folder
@@ -41,6 +45,8 @@ from barwright.llm.tables import shared_folder
 MIN_CHARS = 20
 MIN_DOCS = 3
 KEYS_PER_SHARD = 1 << 16
+#: rows worked on at a time in a task
+ROWS = 1024
 #: at least so many shards, so that small inputs use all cores
 LEAST_SHARDS = 256
 #: bound of the filters sent to every task when lines are marked
@@ -53,18 +59,25 @@ REFS = "shard int, h long, key binary, docs long, top long"
 FILTERS = "shard int, kind string, part int, blob binary"
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+_FOLD = str.maketrans(UPPER, LOWER)
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: str) -> str:
     """ASCII lines, the usual case, are lower-cased as a whole; others letter by letter, A-Z only."""
-    ends = F.btrim(line, F.lit(BLANKS))
-    return F.when(F.octet_length(ends) == F.char_length(ends), F.lower(ends)).otherwise(F.translate(ends, UPPER, LOWER))
+    ends = line.strip(BLANKS)
+    return ends.lower() if ends.isascii() else ends.translate(_FOLD)
 
 
-def digest(key: Column) -> Column:
-    return F.unhex(F.sha2(key, 256))
+def digests(text: str | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
+    """(place, SHA-256 of the key) of the lines whose key has `min_chars` code points."""
+    for pos, line in enumerate((text or "").split("\n")):
+        if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
+            yield pos, sha256(key.encode()).digest()
+
+
+def hashes(keys: list[bytes]) -> np.ndarray:
+    """Spark's `xxhash64` of binary values."""
+    return np.fromiter((xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys)).view(np.int64)
 
 
 def text_mark(text: Column) -> Column:
@@ -72,11 +85,13 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def long_lines(docs: DataFrame, min_chars: int, *kept: Column) -> DataFrame:
-    """`kept`, pos, key digest: the lines whose key has `min_chars` code points."""
-    each = docs.where("doc_id IS NOT NULL").select(*kept, F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keyed = each.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
-    return keyed.withColumn("key", digest(F.col("line"))).drop("line")
+def kept_text(text: str | None, drops: list[int] | None) -> tuple[str, int, int]:
+    """The text without the lines at the given places, its lines before, and how many went."""
+    text = text or ""
+    if not drops:
+        return text, text.count("\n") + 1, 0
+    lines, gone = text.split("\n"), set(drops)
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
 def _filtered(shard_changes: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -177,18 +192,19 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Count the lines of new documents. A doc_id that the index already holds is refused."""
-        held = self._store(
-            docs.where("doc_id IS NOT NULL").select(
-                F.col("doc_id").cast("long").alias("doc_id"),
-                F.array_distinct(
-                    F.transform(
-                        F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= self.min_chars),
-                        digest,
+        min_chars = self.min_chars
+
+        def distinct_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    keys = [list({k for _, k in digests(t, min_chars)}) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(keys, pa.list_(pa.binary()))], names=["doc_id", "keys"]
                     )
-                ).alias("keys"),
-            ),
-            "held",
-        )
+
+        known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        held = self._store(known.mapInArrow(distinct_keys, "doc_id long, keys array<binary>"), "held")
         rows = self.spark.read.schema("doc_id long, keys array<binary>").parquet(held)
         if self.held and not rows.join(self.holders(), "doc_id", "left_semi").isEmpty():
             raise ValueError("some documents are in the index already; delete them first")
@@ -253,8 +269,8 @@ class LineIndex:
 
     # ---- use
 
-    def _prefilter(self):
-        """A column function: may this hash be a key that `min_docs` documents hold? Shards beyond FILTER_BYTES say yes."""
+    def _sent_filters(self) -> tuple[Broadcast, int]:
+        """The `many` filters of the shards below a number, as many as FILTER_BYTES holds, and that number."""
         many = self.shard_filters().where("kind = 'many'").withColumn("bytes", F.length("blob"))
         upto = self.shards
         while upto and (many.where(F.col("shard") < upto).agg(F.sum("bytes")).first()[0] or 0) > FILTER_BYTES:
@@ -262,13 +278,18 @@ class LineIndex:
         blobs: dict[int, list[tuple[int, bytes]]] = {}
         for r in many.where(F.col("shard") < upto).select("shard", "part", "blob").collect():
             blobs.setdefault(r.shard, []).append((r.part, bytes(r.blob)))
-        sent = self.spark.sparkContext.broadcast({s: [b for _, b in sorted(parts)] for s, parts in blobs.items()})
-        shards = self.shards
+        return self.spark.sparkContext.broadcast({s: [b for _, b in sorted(parts)] for s, parts in blobs.items()}), upto
+
+    def repeated_lines(self, docs: DataFrame) -> DataFrame:
+        """doc_id, mark, pos: the lines of `docs` that go; `mark` tells the rows of one doc_id apart."""
+        if not self.refs:
+            return self.spark.createDataFrame([], "doc_id long, mark long, pos int")
+        sent, upto = self._sent_filters()
+        shards, min_chars = self.shards, self.min_chars
         chains: dict[int, Chain] = {}
 
-        @F.pandas_udf("boolean")
-        def maybe_many(hashes: pd.Series) -> pd.Series:
-            h = hashes.to_numpy()
+        def may_be_many(keys: list[bytes]) -> np.ndarray:
+            h = hashes(keys)
             shard = h % shards
             out = shard >= upto
             order = np.argsort(shard, kind="stable")
@@ -278,47 +299,48 @@ class LineIndex:
                     if s not in chains:
                         chains[s] = Chain.load(sent.value[s])
                     out[rows] = chains[s].contains(h[rows])
-            return pd.Series(out)
-
-        return maybe_many
+            return out
+
+        def lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    found = [list(digests(t, min_chars)) for t in part.column(2).to_pylist()]
+                    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                    keys = [k for x in found for _, k in x]
+                    hit = np.flatnonzero(may_be_many(keys)) if keys else np.zeros(0, np.int64)
+                    place = np.array([p for x in found for p, _ in x], np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(row[hit])), part.column(1).take(pa.array(row[hit])),
+                         pa.array(place[hit]), pa.array([keys[i] for i in hit], pa.binary())],
+                        names=["doc_id", "mark", "pos", "key"],
+                    )
 
-    def repeated_lines(self, docs: DataFrame) -> DataFrame:
-        """doc_id, mark, pos: the lines of `docs` that go; `mark` tells the rows of one doc_id apart."""
-        if not self.refs:
-            return self.spark.createDataFrame([], "doc_id long, mark long, pos int")
-        lines = long_lines(
-            docs, self.min_chars, F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark")
-        ).withColumn("h", F.xxhash64("key"))
-        maybe = lines.where(self._prefilter()(F.col("h"))).drop("h")
+        known = docs.where("doc_id IS NOT NULL").select(
+            F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), "text"
+        )
+        maybe = known.mapInArrow(lines, "doc_id long, mark long, pos int, key binary")
         many = self.counts().where(F.col("docs") >= self.min_docs).select("key", "top")
         return maybe.join(many, "key").where("doc_id <> top").select("doc_id", "mark", "pos")
 
     def cleaned(self, docs: DataFrame) -> DataFrame:
         """doc_id, text, n_lines, n_dropped for every row of `docs`: the text without the lines that go."""
-        drops = self.repeated_lines(docs).distinct().groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("drops"))
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = rows.withColumn("mark", text_mark(F.col("text"))).join(drops, ["doc_id", "mark"], "left")
-        kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(
-            F.pandas_udf(without_lines, "string")(F.when(F.col("drops").isNotNull(), F.col("text")), "drops")
-        )
-        breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-        return rows.select(
-            "doc_id", kept.alias("text"), (breaks + 1).cast("long").alias("n_lines"),
-            F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
 
+        def without(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    out = [kept_text(t, d) for t, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                    text, lines, gone = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(text, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
+                        names=["doc_id", "text", "n_lines", "n_dropped"],
+                    )
 
-def without_lines(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Texts without the lines at the given places; null stays null."""
-    for text, drops in texts:
-        out: list[str | None] = []
-        for t, d in zip(text, drops, strict=True):
-            if t is None or d is None:
-                out.append(None)
-                continue
-            gone = set(d.tolist())
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-        yield pd.Series(out, dtype=object)
+        drops = self.repeated_lines(docs).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drops"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("mark"))
+        joined = rows.join(drops, ["doc_id", "mark"], "left").select("doc_id", "text", "drops")
+        return joined.mapInArrow(without, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 #: the same in SQL, over a table `documents`
