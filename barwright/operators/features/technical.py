@@ -49,31 +49,29 @@ def technical_blocks(closes: DataFrame, fc: FeatureConfig, size: int) -> DataFra
     fast, slow = f"_ema_{fc.macd_fast_bars}", f"_ema_{fc.macd_slow_bars}"
     macd = [i for i, s in enumerate(first) if s.name in (fast, slow)]
     rows = scan.in_blocks(closes.select("symbol", "pos", "close", "prev_close"), size)
-    one = scan.carries(scan.block_maps(rows, first, price_series), first)
+    keys, by_block = scan.key_types(rows), rows.groupBy("symbol", "chunk")
 
     def values(pdf: pd.DataFrame, before: np.ndarray, which: list[int]) -> dict[str, np.ndarray]:
         x, start = price_series(pdf), int(pdf["pos"].iloc[0])
         return {first[i].name: scan.run_values(x[first[i].value], start, first[i], before[:, i]) for i in which}
 
-    def line_maps(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+    def line_maps(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        v = values(pdf, scan.state_before(carry, first), macd)
+        v = values(pdf, scan.state_before(block, first, "before"), macd)
         run = scan.run_map(v[fast] - v[slow], int(pdf["pos"].iloc[0]), second[0].alpha)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "run": [run]})
+        return block.assign(run=[run])[["symbol", "chunk", "before", "run"]]
 
-    def fill(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+    def fill(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        v = values(pdf, scan.state_before(carry, first), list(range(len(first))))
+        v = values(pdf, scan.state_before(block, first, "before"), list(range(len(first))))
         v[LINE] = v[fast] - v[slow]
-        before = scan.state_before(carry, second, "before_line", "start_line")
+        before = scan.state_before(block, second, "before_line")
         v["_macd_signal"] = scan.run_values(v[LINE], int(pdf["pos"].iloc[0]), second[0], before[:, 0])
-        keys = {"symbol": pdf["symbol"].iloc[:1].to_list(), "chunk": pdf["chunk"].iloc[:1].to_list()}
-        return pd.DataFrame(keys | {k: [x] for k, x in v.items()})
+        return block[["symbol", "chunk"]].assign(**{k: [x] for k, x in v.items()})
 
-    keys = scan.key_types(rows)
-    by_block = rows.groupBy("symbol", "chunk")
-    lines = by_block.cogroup(one.groupBy("symbol", "chunk")).applyInPandas(line_maps, f"{keys}, run array<double>")
-    both = one.join(scan.carries(lines, second, "before_line", "start_line"), ["symbol", "chunk"])
+    one = scan.states(scan.block_maps(rows, first, price_series), first, "before")
+    lines = by_block.cogroup(one.groupBy("symbol", "chunk")).applyInPandas(line_maps, f"{keys}, before array<double>, run array<double>")
+    both = scan.states(lines, second, "before_line", "before")
     schema = ", ".join([keys, *[f"{c} array<double>" for c in average_columns(fc)]])
     return by_block.cogroup(both.groupBy("symbol", "chunk")).applyInPandas(fill, schema)
 

@@ -41,9 +41,14 @@ def _fold_days(days: Column, max_events: int, window_days: int) -> Column:
 
 def daily_allowance(events: DataFrame, by: list[str], max_events: int, window_days: int) -> DataFrame:
     """(by..., session_date, n, allowed) for one row per candidate event."""
+    counts = events.groupBy(*by, "session_date").agg(F.count(F.lit(1)).alias("n"))
+    return allowance_of_counts(counts, by, max_events, window_days)
+
+
+def allowance_of_counts(counts: DataFrame, by: list[str], max_events: int, window_days: int) -> DataFrame:
+    """(by..., session_date, n, allowed) from the candidates `n` of each session."""
     if max_events < 1 or window_days < 1:
         raise ValueError("max_events and window_days must be >= 1")
-    counts = events.groupBy(*by, "session_date").agg(F.count(F.lit(1)).alias("n"))
     day = F.struct(
         "session_date",
         business_day_index("session_date").alias("bd"),

@@ -11,15 +11,14 @@ of steps: six numbers say what a run of rows does to an average, whatever came b
     x                value at `first`
     a, b             the steps after `first`: y -> a y + b
 
-and two neighbouring runs join into one. Series are cut into blocks of rows; a block's map is computed where its rows
-are, maps are joined in groups of `FAN` blocks and groups in order, and each block then starts from the exact average
-before it. Nothing old is left out, however far back, and no task sees more than a block, the maps of `FAN` blocks, or
-one map for each `FAN * size` rows of a symbol.
+Series are cut into blocks of rows. A block's map is computed where its rows are, the maps of a symbol are applied one
+after the other, which is a stream of one small row for each `BLOCK_ROWS` bars, and each block then starts from the exact
+average before it. Nothing old is left out, however far back, and no task holds more than the rows of a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAN = 1024
 BLOCK_ROWS = 4096
 MAP, STATE = 6, 3
 
@@ -74,16 +72,6 @@ def run_map(x: np.ndarray, start: int, alpha: float) -> list[float]:
     return [float(len(seen)), start + first, start + last, float(x[first]), a, float(recursion(rest, alpha)[-1])]
 
 
-def joined(left: np.ndarray, right: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """The map of two neighbouring runs; (6, averages) arrays."""
-    n1, f1, l1, x1, a1, b1 = left
-    n2, f2, l2, x2, a2, b2 = right
-    q = np.power(1.0 - alpha, np.maximum(f2 - l1, 0.0))
-    w = q + alpha
-    both = np.stack([n1 + n2, f1, l2, x1, a2 * q * a1 / w, a2 * (q * b1 + alpha * x2) / w + b2])
-    return np.where(n1 == 0, right, np.where(n2 == 0, left, both))
-
-
 def advanced(state: np.ndarray, run: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """(n, last, y) after a run of rows; (3, averages) arrays."""
     n, last, y = state
@@ -108,10 +96,14 @@ def run_values(x: np.ndarray, start: int, average: Average, state: np.ndarray) -
     return out
 
 
-#: the values an average reads, from the rows of one block (ordered by pos) and the states before it
+#: the values an average reads, from the rows of one block (ordered by pos)
 Series = Callable[[pd.DataFrame], dict[str, np.ndarray]]
 
 
+def key_types(rows: DataFrame) -> str:
+    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("symbol", "chunk"))
+
+
 def block_maps(rows: DataFrame, averages: list[Average], series: Series) -> DataFrame:
     """(symbol, chunk, run): what each block of rows (symbol, chunk, pos, ...) does to the averages."""
 
@@ -124,47 +116,28 @@ def block_maps(rows: DataFrame, averages: list[Average], series: Series) -> Data
     return rows.groupBy("symbol", "chunk").applyInPandas(maps, f"{key_types(rows)}, run array<double>")
 
 
-def key_types(rows: DataFrame) -> str:
-    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("symbol", "chunk"))
+def states(maps: DataFrame, averages: list[Average], name: str, *kept: str) -> DataFrame:
+    """(symbol, chunk, `kept`, `name`): the state of the averages before each block, from the maps `run` in order."""
+    alpha, count = alphas(averages), len(averages)
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, now = None, np.zeros((STATE, count))
+        for pdf in batches:
+            out = []
+            for s, r in zip(pdf["symbol"], pdf["run"], strict=True):
+                if s != symbol:
+                    symbol, now = s, np.zeros((STATE, count))
+                out.append(now.ravel())
+                now = advanced(now, np.asarray(r, float).reshape(MAP, count), alpha)
+            yield pdf.drop(columns="run").assign(**{name: out})[["symbol", "chunk", *kept, name]]
 
-def carries(maps: DataFrame, averages: list[Average], run: str = "before", state: str = "start") -> DataFrame:
-    """(symbol, chunk, before, start): the state before a block is `start` moved on by the map `before`.
+    schema = ", ".join([key_types(maps), *[f"{c} {maps.schema[c].dataType.simpleString()}" for c in kept], f"{name} array<double>"])
+    return maps.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInPandas(walk, schema)
 
-    `before` joins the blocks of the group ahead of this one, `start` is the state at the begin of the group.
-    """
-    alpha, count = alphas(averages), len(averages)
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        so_far, out = np.zeros((MAP, count)), []
-        for r in pdf["run"]:
-            out.append(so_far.ravel())
-            so_far = joined(so_far, np.asarray(r, float).reshape(MAP, count), alpha)
-        made = pd.DataFrame({"symbol": pdf["symbol"], "chunk": pdf["chunk"], "grp": pdf["grp"], "run": out})
-        total = pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "chunk": [-1], "grp": pdf["grp"].iloc[:1], "run": [so_far.ravel()]})
-        return pd.concat([made, total])
-
-    def over_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("grp")
-        now, out = np.zeros((STATE, count)), []
-        for r in pdf["run"]:
-            out.append(now.ravel())
-            now = advanced(now, np.asarray(r, float).reshape(MAP, count), alpha)
-        return pd.DataFrame({"symbol": pdf["symbol"], "grp": pdf["grp"], state: out})
-
-    symbol = f"symbol {maps.schema['symbol'].dataType.simpleString()}"
-    grouped = maps.withColumn("grp", F.floor(F.col("chunk") / FAN))
-    prefix = grouped.groupBy("symbol", "grp").applyInPandas(inside, f"{key_types(maps)}, grp bigint, run array<double>")
-    totals = prefix.where("chunk = -1").select("symbol", "grp", "run")
-    starts = totals.groupBy("symbol").applyInPandas(over_groups, f"{symbol}, grp bigint, {state} array<double>")
-    return prefix.where("chunk >= 0").withColumnRenamed("run", run).join(starts, ["symbol", "grp"]).drop("grp")
-
-
-def state_before(carry: pd.DataFrame, averages: list[Average], run: str = "before", state: str = "start") -> np.ndarray:
-    """(3, averages): the states before a block, from its row of `carries`."""
-    r = np.asarray(carry[run].iloc[0], float).reshape(MAP, len(averages))
-    return advanced(np.asarray(carry[state].iloc[0], float).reshape(STATE, len(averages)), r, alphas(averages))
+def state_before(block: pd.DataFrame, averages: list[Average], name: str) -> np.ndarray:
+    """(3, averages): the states before a block, from its row of `states`."""
+    return np.asarray(block[name].iloc[0], float).reshape(STATE, len(averages))
 
 
 def in_blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -184,16 +157,16 @@ def with_averages(df: DataFrame, averages: list[Average], *, size: int = BLOCK_R
     def read(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         return {v: pdf[v].to_numpy(float) for v in values}
 
-    def fill(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+    def fill(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        x, start, before = read(pdf), int(pdf["pos"].iloc[0]), state_before(carry, averages)
+        x, start, before = read(pdf), int(pdf["pos"].iloc[0]), state_before(block, averages, "before")
         out = {"symbol": pdf["symbol"].iloc[:1].to_list(), "chunk": pdf["chunk"].iloc[:1].to_list()}
         return pd.DataFrame(out | {s.name: [run_values(x[s.value], start, s, before[:, i])] for i, s in enumerate(averages)})
 
     rows = in_blocks(df.select("symbol", "pos", *values), size)
-    carry = carries(block_maps(rows, averages, read), averages)
+    before_ = states(block_maps(rows, averages, read), averages, "before")
     schema = ", ".join([key_types(rows), *[f"{s.name} array<double>" for s in averages]])
-    blocks = rows.groupBy("symbol", "chunk").cogroup(carry.groupBy("symbol", "chunk")).applyInPandas(fill, schema)
+    blocks = rows.groupBy("symbol", "chunk").cogroup(before_.groupBy("symbol", "chunk")).applyInPandas(fill, schema)
     names = {s.name: f"_{s.name}_block" for s in averages}
     joined_ = in_blocks(df, size).join(blocks.withColumnsRenamed(names), ["symbol", "chunk"])
     return joined_.withColumns({k: place(v, size) for k, v in names.items()}).drop("chunk", *names.values())

@@ -1,8 +1,9 @@
 """Named queries over the driver's tables.
 
 The tables hold ticks (`events`), so event types stand for symbols, `value` for price and the
-tick count for volume; bars are five minutes long and cover weekdays in UTC. Bars and labels are
-stored tables in a deployment; here they are built once per input folder and kept (`stage`).
+tick count for volume; bars are five minutes long, in UTC, and cover all days that have ticks.
+Bars and labels are stored tables in a deployment; here they are built once per input folder and
+kept (`stage`). The day-of-week group is defined for weekdays only, so its query reads those.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ FEATURES = FeatureConfig(
     roll_window_bars=10,
     amihud_window_bars=10,
 )
+#: every group that is defined on all days
 BASIC = FeatureConfig()
+ALL_DAYS = replace(FEATURES, session_day_of_week=False)
 CFG = ExperimentConfig(
     exchange_timezone=TZ,
     profit_barrier_base=1.0,
@@ -58,11 +61,13 @@ CFG = ExperimentConfig(
     train_end=date(2024, 1, 22),
     val_start=date(2024, 1, 23),
     val_end=date(2024, 1, 31),
-    features=FEATURES,
+    features=ALL_DAYS,
 )
 INDEX_SYMBOL, PROXY_SYMBOL = "view", "signup"
 SPLIT_COLUMNS = ["symbol", "entry_time", "session_date", "split", "y_true", "y_pred"]
 
+HALF_SHIFT = 3.7e-9
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -98,8 +103,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = events(spark, sf_dir).where(F.weekday(F.to_date("ts")) < 5)
-    raw = bars_from_ticks(ticks, symbol="event_type", ts="ts", price="value", tie="event_id", seconds=BAR_SECONDS)
+    raw = bars_from_ticks(events(spark, sf_dir), symbol="event_type", ts="ts", price="value", tie="event_id", seconds=BAR_SECONDS)
     return with_session(raw, TZ)
 
 
@@ -163,8 +167,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    """Six digits, with one zero: sums differ in their last bits between engines."""
-    c = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six digits, with one zero: sums differ in their last bits between engines.
+
+    Prices have two digits, so ratios often end in a half of the sixth; the shift keeps last bits from deciding those.
+    """
+    c = F.round((F.col(c) if isinstance(c, str) else c) + HALF_SHIFT, 6)
     return F.when(c == 0, F.lit(0.0)).otherwise(c)
 
 
@@ -222,7 +229,6 @@ def q_merged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_refreshed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, new = _stored_and_new(spark, sf_dir)
-    new = new.where(F.pmod(F.minute("ts"), F.lit(10)) == 0)
     return show(bar_store.replace_window(stored, new, date(2024, 1, 15), date(2024, 1, 31)))
 
 
@@ -315,8 +321,7 @@ def q_triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_triple_barrier_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars from ticks in one plan, mean reference, one-day horizon, every bar an entry."""
-    ticks = events(spark, sf_dir).where(F.weekday(F.to_date("ts")) < 5)
-    raw = bars_from_ticks(ticks, symbol="event_type", ts="ts", price="value", tie="event_id", seconds=3600)
+    raw = bars_from_ticks(events(spark, sf_dir), symbol="event_type", ts="ts", price="value", tie="event_id", seconds=3600)
     cfg = replace(CFG, vol_ref_method="mean", vertical_max_trading_days=1, label_entry_stride=1)
     return show(label_bars(with_session(raw, TZ), cfg))
 
@@ -327,8 +332,7 @@ def q_label_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_label_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user bars: users with too few bars or too few sessions for a volatility."""
-    ticks = events(spark, sf_dir).where(F.weekday(F.to_date("ts")) < 5)
-    raw = bars_from_ticks(ticks, symbol=F.col("user_id").cast("string"), ts="ts", price="value", tie="event_id", seconds=BAR_SECONDS)
+    raw = bars_from_ticks(events(spark, sf_dir), symbol=F.col("user_id").cast("string"), ts="ts", price="value", tie="event_id", seconds=BAR_SECONDS)
     cfg = replace(CFG, vol_lookback_trading_days=20)
     return label_issues(with_session(raw, TZ), cfg)
 
@@ -345,7 +349,10 @@ def feature_query(group: str) -> Query:
     fc = _only(group)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if group == "label_geometry":
+        if group == "session_day_of_week":
+            weekdays = bars(spark, sf_dir).where(F.weekday("session_date") < 5)
+            d = feature_table(weekdays, fc)
+        elif group == "label_geometry":
             d = matrix(spark, sf_dir, replace(CFG, features=fc)).withColumnRenamed("entry_time", "ts")
         else:
             extra = context(spark, sf_dir) if group == "market_context" else {}
@@ -355,6 +362,27 @@ def feature_query(group: str) -> Query:
     return run
 
 
+def q_feat_long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing frames of 30 to 120 bars."""
+    fc = replace(
+        FEATURES, **{g: g in ("realized_vol_multi", "range_vol_multi", "order_flow_proxies") for g in FEATURE_GROUPS},
+        realized_vol_windows_bars=(30, 120), range_vol_window_bars=60, roll_window_bars=50, amihud_window_bars=40,
+    )
+    return show(feature_table(bars(spark, sf_dir), fc).select("symbol", "ts", *feature_columns(fc)))
+
+
+def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose close is missing three times in eleven, at fixed times of the day."""
+    gap = F.pmod(F.floor(F.unix_seconds("ts") / BAR_SECONDS), F.lit(11)).isin(0, 3, 4)
+    return bars(spark, sf_dir).withColumn("close", F.when(~gap, F.col("close")))
+
+
+def q_feat_technical_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages over series with missing closes."""
+    fc = _only("technical_indicators")
+    return show(feature_table(gappy_bars(spark, sf_dir), fc).select("symbol", "ts", *feature_columns(fc)))
+
+
 def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(matrix(spark, sf_dir).drop("bars_forward"))
 
@@ -635,7 +663,7 @@ def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tick files as a stream, merged into a bar table until the input is drained."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    ticks = raw.where(F.weekday(F.to_date("ts")) < 5).select(
+    ticks = raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("price"), F.lit(1.0).alias("size"),
     )

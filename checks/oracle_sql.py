@@ -10,7 +10,8 @@ import math
 
 
 def r6(x: str) -> str:
-    return f"CASE WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END"
+    """Six digits; the shift keeps halves of the sixth digit from hanging on last bits."""
+    return f"CASE WHEN round({x} + 3.7e-9, 6) = 0 THEN 0.0 ELSE round({x} + 3.7e-9, 6) END"
 
 
 def pick(keys: str, doubles: list[str] | str, source: str, tail: str = "") -> str:
@@ -36,7 +37,7 @@ def bars_from(seconds: int, symbol: str = "event_type") -> str:
            make_timestamp((epoch_us(ts) // {seconds * 1_000_000}) * {seconds * 1_000_000}) AS ts,
            first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
            last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
-    FROM events WHERE isodow(ts) < 6 GROUP BY 1, 2"""
+    FROM events GROUP BY 1, 2"""
 
 
 def positions(src: str) -> str:
@@ -275,6 +276,26 @@ cte(
     "fcs", "fframe",
     f"SELECT *, exp(greatest((sqrt(2.0 * beta) - sqrt(greatest(beta, 0.0))) / {CSK} - sqrt(greatest(gamma / {CSK}, 0.0)), 0.0)) AS ea FROM fframe",
 )
+cte(
+    "flong", "fbase2",
+    f"""
+    SELECT *, exp(greatest((sqrt(2.0 * beta) - sqrt(greatest(beta, 0.0))) / {CSK} - sqrt(greatest(gamma / {CSK}, 0.0)), 0.0)) AS ea2,
+           rv_30m / greatest(rv_120m, 1e-12) + 0 * rv_120m AS rv_ratio_30_120m, sqrt(park60) AS parkinson_60m,
+           atr60 / greatest(close, 1e-12) AS atr_norm_60m, 2.0 * (ea2 - 1.0) / (1.0 + ea2) + 0 * beta AS corwin_schultz_spread,
+           2.0 * sqrt(greatest(-(mrl - mr * ml), 0.0)) + 0 * mrl AS roll_implied_spread,
+           (close - open) / greatest(high - low, 1e-12) * (volume / greatest(med50, 1e-12) + 0 * med50) AS signed_volume_proxy,
+           (high - greatest(open, close)) / greatest(high - low, 1e-12) AS upper_wick_pct,
+           (least(open, close) - low) / greatest(high - low, 1e-12) AS lower_wick_pct
+    FROM (SELECT *, {fr('stddev_samp', 'ret', 30)} AS rv_30m, {fr('stddev_samp', 'ret', 120)} AS rv_120m,
+                 {fr('avg', 'park', 60)} AS park60, {fr('avg', 'tr', 60)} AS atr60, {fr('median', 'volume', 50)} AS med50,
+                 {fr('avg', 'sq2', 50)} AS beta, {fr('avg', 'ret', 50)} AS mr, {fr('avg', 'lret', 50)} AS ml,
+                 {fr('avg', 'rl', 50)} AS mrl, {fr('avg', 'ill', 40)} AS amihud_illiq
+          FROM fbase2)""",
+)
+LONG = (
+    "rv_30m rv_120m rv_ratio_30_120m parkinson_60m atr_norm_60m corwin_schultz_spread roll_implied_spread amihud_illiq "
+    "signed_volume_proxy upper_wick_pct lower_wick_pct"
+)
 TWO_PI = repr(2.0 * math.pi)
 PHASE = f"(epoch_us(ts) - epoch_us(open_ts)) / 60e6 / greatest((epoch_us(end_ts) - epoch_us(open_ts)) / 60e6, 1.0) * {TWO_PI}"
 cte(
@@ -332,6 +353,48 @@ EMA_CTES = (
       FROM fbase b LEFT JOIN ewalk w USING (symbol, pos) LEFT JOIN mwalk USING (symbol, pos)
       LEFT JOIN macd m USING (symbol, pos) LEFT JOIN swalk s USING (symbol, pos))"""
 )
+cte("gbars", "b", "SELECT * REPLACE (CASE WHEN (epoch_us(ts) // 300000000) % 11 NOT IN (0, 3, 4) THEN close END AS close) FROM b")
+cte(
+    "gbase", "gbars",
+    """
+    SELECT *, CASE WHEN close < before THEN 0.0 ELSE close - before END AS gain, CASE WHEN close > before THEN 0.0 ELSE before - close END AS loss
+    FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY pos) AS before FROM gbars)""",
+)
+
+
+def gap_walk(name: str, src: str, values: dict[str, tuple[str, float, int]]) -> str:
+    """Averages row by row with missing values: {out: (column, alpha, least number of values)}.
+
+    For each average the walk carries its value, the rows since the last value, and the number of values seen.
+    """
+    first, step, shown = [], [], []
+    for o, (x, a, least) in values.items():
+        first.append(f"{x} AS y_{o}, 1 AS k_{o}, CASE WHEN {x} IS NULL THEN 0 ELSE 1 END AS n_{o}")
+        q = f"power({1 - a!r}, w.k_{o})"
+        step.append(
+            f"CASE WHEN s.{x} IS NULL THEN w.y_{o} WHEN w.y_{o} IS NULL THEN s.{x} ELSE ({q} * w.y_{o} + {a!r} * s.{x}) / ({q} + {a!r}) END, "
+            f"CASE WHEN s.{x} IS NULL THEN w.k_{o} + 1 ELSE 1 END, w.n_{o} + CASE WHEN s.{x} IS NULL THEN 0 ELSE 1 END"
+        )
+        shown.append(f"CASE WHEN n_{o} >= {least} THEN y_{o} END AS {o}")
+    return f"""
+    {name}_w AS (
+      SELECT symbol, pos, {', '.join(first)} FROM {src} WHERE pos = 0
+      UNION ALL
+      SELECT s.symbol, s.pos, {', '.join(step)} FROM {name}_w w JOIN {src} s ON s.symbol = w.symbol AND s.pos = w.pos + 1),
+    {name} AS (SELECT symbol, pos, {', '.join(shown)} FROM {name}_w)"""
+
+
+GAP_CTES = (
+    gap_walk("gw", "gbase", {f"e{n}": ("close", span(n), n) for n in (9, 12, 21, 26)} | {"ag": ("gain", 1.0 / 14, 14), "al": ("loss", 1.0 / 14, 14)})
+    + ", gline AS (SELECT symbol, pos, e12 - e26 AS line FROM gw),"
+    + gap_walk("gs", "gline", {"sig": ("line", span(9), 9)})
+    + """,
+    gtech AS (
+      SELECT b.symbol, b.ts, (close - e9) / greatest(e9, 1e-12) AS ema_dist_9m, (close - e21) / greatest(e21, 1e-12) AS ema_dist_21m,
+             CASE WHEN ag IS NOT NULL THEN 1.0 - 1.0 / (1.0 + ag / greatest(al, 1e-12)) END AS rsi_14m,
+             line AS macd_line, sig AS macd_signal, line - sig AS macd_hist
+      FROM gbase b JOIN gw USING (symbol, pos) JOIN gline USING (symbol, pos) JOIN gs USING (symbol, pos))"""
+)
 MARKET_CTES = """
     idx AS (SELECT ts, pos AS spy_pos, ln(close / greatest(lag(close, 5) OVER (ORDER BY pos), 1e-12)) AS spy_ret_5m FROM b WHERE symbol = 'view'),
     prox AS (SELECT session_date, lag(close, 1) OVER w / lag(close, 2) OVER w - 1.0 AS vix_chg_1d FROM daily WHERE symbol = 'signup' WINDOW w AS (ORDER BY session_date)),
@@ -354,7 +417,7 @@ FEATURES: dict[str, str] = {
 GEOMETRY = "sigma_ann_at_entry vol_scale_ratio tp_move_effective sl_move"
 TECH = "ema_dist_9m ema_dist_21m rsi_14m macd_line macd_signal macd_hist"
 MARKET = "spy_ret_5m vix_chg_1d"
-BAR_GROUPS = " ".join(FEATURES.values())
+BAR_GROUPS = " ".join(cols for g, cols in FEATURES.items() if g != "session_day_of_week")
 ALL_FEATURES = f"{GEOMETRY} {BAR_GROUPS} {TECH} {MARKET}"
 NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in ALL_FEATURES.split())
 MATRIX_CTES = EMA_CTES + "," + MARKET_CTES + f""",
@@ -437,7 +500,7 @@ SPEC: dict[str, tuple[str, str, str]] = {
         pick("symbol, ts, session_date", OHLCV, "(SELECT * FROM new UNION ALL SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.symbol = s.symbol AND n.ts = s.ts))"),
     ),
     "refreshed_bars": (
-        "b", f"new AS ({NEW} AND minute(ts) % 10 = 0), stored AS ({STORED})",
+        "b", f"new AS ({NEW}), stored AS ({STORED})",
         pick("symbol, ts, session_date", OHLCV, "(SELECT * FROM new UNION ALL SELECT * FROM stored WHERE session_date < DATE '2024-01-15')"),
     ),
     "bars_in_range": (
@@ -484,7 +547,12 @@ SPEC: dict[str, tuple[str, str, str]] = {
              CASE WHEN sum(n) < 3 THEN 'fewer than 3 bars' WHEN count(*) FILTER (WHERE have = 20) = 0 THEN 'no finite volatility' END AS issue
            FROM v GROUP BY 1) WHERE issue IS NOT NULL""",
     ),
-    **{f"feat_{g}": ("fbar", "", pick("symbol, ts", cols, "fbar")) for g, cols in FEATURES.items()},
+    **{
+        f"feat_{g}": ("fbar", "", pick("symbol, ts", cols, "fbar", "WHERE isodow(ts) < 6" if g == "session_day_of_week" else ""))
+        for g, cols in FEATURES.items()
+    },
+    "feat_long_frames": ("flong", "", pick("symbol, ts", LONG, "flong")),
+    "feat_technical_gaps": ("gbase", GAP_CTES, pick("symbol, ts", TECH, "gtech")),
     "feat_label_geometry": ("lab", "", pick("symbol, entry_time AS ts", GEOMETRY, "lab")),
     "feat_technical_indicators": ("fbase", EMA_CTES, pick("symbol, ts", TECH, "tech")),
     "feat_market_context": ("b daily", MARKET_CTES, pick("symbol, ts", MARKET, "market")),

@@ -85,11 +85,10 @@ def pandas_averages(c: pd.Series) -> dict[str, pd.Series]:
     return want | {"rsi_14m": 1 - 1 / (1 + up / down.clip(lower=1e-12)), "macd_line": line, "macd_signal": signal, "macd_hist": line - signal}
 
 
-@pytest.mark.parametrize(("rows", "fan"), [(4096, 1024), (16, 3)])
-def test_averages_match_pandas(spark, monkeypatch, rows, fan):
-    """The smaller numbers make many blocks in many groups, so states travel through every level."""
+@pytest.mark.parametrize("rows", [4096, 16])
+def test_averages_match_pandas(spark, monkeypatch, rows):
+    """The smaller number makes many blocks, so states travel far."""
     monkeypatch.setattr(matrix, "CHUNK_ROWS", rows)
-    monkeypatch.setattr(scan, "FAN", fan)
     pdf = pd.concat([walk(4, 100, 1, "AAA"), walk(2, 100, 2, "BBB"), walk(1, 1, 3, "CCC")])
     got = table(spark, pdf, only("technical_indicators"))
     for sym, g in pdf.groupby("symbol"):
@@ -98,11 +97,9 @@ def test_averages_match_pandas(spark, monkeypatch, rows, fan):
             np.testing.assert_allclose(mine[name].to_numpy(dtype=float), w.to_numpy(), rtol=1e-9, atol=1e-11, err_msg=f"{sym} {name}")
 
 
-@pytest.mark.parametrize("fan", [2, 1024])
-def test_averages_over_missing_closes_match_pandas(spark, monkeypatch, fan):
+def test_averages_over_missing_closes_match_pandas(spark, monkeypatch):
     """Single gaps, gaps longer than a block, a missing first close, no close at all, and a bad print long ago."""
     monkeypatch.setattr(matrix, "CHUNK_ROWS", 16)
-    monkeypatch.setattr(scan, "FAN", fan)
     rng = np.random.default_rng(5)
     frames = [walk(3, 150, k, name) for k, name in enumerate(("AAA", "BBB", "CCC", "DDD"))]
     frames[0].loc[rng.choice(450, 120, replace=False), "close"] = np.nan
@@ -130,28 +127,20 @@ def test_averages_of_any_column(spark):
         np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-12, err_msg=name)
 
 
-def test_runs_join_in_any_grouping():
-    """The scan is associative: maps of neighbouring runs, joined left first or right first, give the same state."""
+def test_maps_of_runs_give_the_state_after_them():
+    """However a series is cut, its runs' maps applied in order end in the average of the whole."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=60)
     x[rng.choice(60, 25, replace=False)] = np.nan
     x[40:50] = np.nan
-    alpha = np.array([0.3])
-    cuts = [0, 7, 8, 20, 40, 50, 60]
-    runs = [np.array([scan.run_map(x[a:b], a, 0.3)]).T for a, b in zip(cuts, cuts[1:])]
-    left = right = None
-    for r in runs:
-        left = r if left is None else scan.joined(left, r, alpha)
-    for r in reversed(runs):
-        right = r if right is None else scan.joined(r, right, alpha)
-    zero = np.zeros((3, 1))
-    want = pd.Series(x).ewm(alpha=0.3, adjust=False).mean().iloc[-1]
-    for m in (left, right):
-        np.testing.assert_allclose(scan.advanced(zero, m, alpha)[2], want, rtol=1e-12)
-    step_by_step = zero
-    for r in runs:
-        step_by_step = scan.advanced(step_by_step, r, alpha)
-    np.testing.assert_allclose(step_by_step[2], want, rtol=1e-12)
+    want = pd.Series(x).ewm(alpha=0.3, adjust=False).mean()
+    for cuts in ([0, 60], [0, 7, 8, 20, 40, 50, 60], list(range(61))):
+        now = np.zeros((3, 1))
+        for a, b in zip(cuts, cuts[1:]):
+            got = scan.run_values(x[a:b], a, scan.Average("e", "x", 0.3, 1), now[:, 0])
+            np.testing.assert_allclose(got, want[a:b], rtol=1e-12)
+            now = scan.advanced(now, np.array([scan.run_map(x[a:b], a, 0.3)]).T, np.array([0.3]))
+        np.testing.assert_allclose(now[2], want.iloc[-1], rtol=1e-12)
 
 
 @pytest.mark.parametrize("w", [2, 10, 33, 120])
