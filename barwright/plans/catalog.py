@@ -8,6 +8,7 @@ kept (`stage`). The day-of-week group is defined for weekdays only, so its query
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
@@ -24,12 +25,12 @@ from barwright.operators import evaluation, journal, report, risk, volatility, w
 from barwright.operators.features import feature_columns, feature_matrix, feature_table, split_by_session
 from barwright.operators.labels import label_bars, label_issues, outcome_counts
 from barwright.operators.positions import slot_table, with_positions, with_session
-from barwright.plans import grid, jobs, meta, training
+from barwright.plans import grid, jobs, meta, store, training
 from barwright.sources import bars as bar_store
 from barwright.sources import runlog
 from barwright.sources.journal import normalize_journal
 from barwright.sources.ticks import bars_from_ticks
-from barwright.streaming.bars import start_refresh, stream_bars, target_path
+from barwright.streaming.bars import RECENT_SUFFIX, start_refresh, stream_bars, target_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,13 +70,16 @@ SPLIT_COLUMNS = ["symbol", "entry_time", "session_date", "split", "y_true", "y_p
 HALF_SHIFT = 3.7e-9
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; a temporary one only without it."""
+    """A fresh folder in the cluster's shared checkpoint folder; a temporary one in local mode, where there is one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/barwright-{training.new_run_id()}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="barwright-")
 
 
@@ -232,10 +236,19 @@ def q_refreshed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(bar_store.replace_window(stored, new, date(2024, 1, 15), date(2024, 1, 31)))
 
 
+def stored_bars(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the bars as a stored table, written once per input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "bar table")
+    if key not in _PATHS:
+        path = f"{scratch(spark)}/bar_table"
+        bar_store.upsert_bars(spark, bar_store.with_storage_columns(bars(spark, sf_dir).drop("slot"), "1min", TZ), path)
+        _PATHS[key] = path
+    return _PATHS[key]
+
+
 def q_bars_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).drop("slot")
-    inside = F.col("session_date").between(F.lit(date(2024, 1, 10)), F.lit(date(2024, 1, 17)))
-    return show(b.where(inside & F.col("symbol").isin("click", "view")))
+    span = {"start": date(2024, 1, 10), "end": date(2024, 1, 17)}
+    return show(bar_store.read_bars(spark, stored_bars(spark, sf_dir), symbols=["click", "view"], **span).drop("interval"))
 
 
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +293,21 @@ def q_exchange_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor rows through the store job: a first load, the gap after it, recent bars beside the table, both read as one."""
+    raw = raw_vendor_rows(spark, sf_dir).withColumn("interval", F.lit("1min"))
+    series = raw.select("symbol", "interval").distinct()
+    path = f"{scratch(spark)}/store"
+    first = replace(CFG, data_start=date(2024, 1, 1), data_end=date(2024, 1, 12), ingest_chunk_calendar_days=5)
+    store.run_store(spark, raw, series, first, path, arrival="event_id")
+    store.run_store(spark, raw, series, replace(first, data_end=date(2024, 2, 5)), path, arrival="event_id")
+    late = bar_store.normalize_bars(raw, arrival="event_id", tz=TZ).withColumn("close", F.col("close") + 1.0)
+    late = bar_store.with_storage_columns(late, "1min", TZ).where(F.col("session_date") >= F.lit(date(2024, 1, 25)))
+    bar_store.upsert_bars(spark, late, path + RECENT_SUFFIX)
+    both = bar_store.read_bars(spark, path, start=date(2024, 1, 2), end=date(2024, 1, 30), recent=path + RECENT_SUFFIX)
+    return show(both.drop("interval"))
+
+
 # --- volatility and labels ---------------------------------------------------------------------
 
 

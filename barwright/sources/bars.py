@@ -2,7 +2,8 @@
 
 Layout: partitioned by interval and session_date, rows ordered by (symbol, ts) inside files, so
 a date range prunes directories and a symbol filter prunes row groups. A symbol is no directory
-level because a universe times its dates would be millions of small files.
+level because a universe times its dates would be millions of small files. A table that is merged
+into is a `SnapshotTable`: each merge is a new version, and readers see one version.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from barwright.config import ContextSymbol, ExperimentConfig, validate_proxy_symbol
 from barwright.functions.calendar import session_date, wall_time_to_instant
 from barwright.functions.expr import col, to_double
+from barwright.sources.snapshots import Partition, SnapshotTable
 
 PRICES = ("open", "high", "low", "close", "volume")
 BOUNDS_TOLERANCE_DAYS = 4
@@ -128,6 +130,14 @@ def fetch_plan(stored: DataFrame, wanted: DataFrame, cfg: ExperimentConfig) -> D
     return calendar_chunks(gaps, cfg.ingest_chunk_calendar_days)
 
 
+PARTITIONS = ("interval", "session_date")
+ORDER = ("symbol", "ts")
+
+
+def bar_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, BAR_SCHEMA, PARTITIONS)
+
+
 def read_bars(
     spark: SparkSession,
     path: str,
@@ -136,9 +146,23 @@ def read_bars(
     interval: str = "1min",
     start: date | None = None,
     end: date | None = None,
+    recent: str | None = None,
 ) -> DataFrame:
-    """Stored bars of an interval, pruned to the inclusive session-date range and symbols."""
-    d = spark.read.schema(BAR_SCHEMA).parquet(path).where(F.col("interval") == interval)
+    """Stored bars of an interval, pruned to the inclusive session-date range and symbols.
+
+    `path` is a versioned table or a plain one; bars of a `recent` table beside it win at equal times.
+    """
+    if recent is not None:
+        kept = {"symbols": None if symbols is None else list(symbols), "interval": interval, "start": start, "end": end}
+        main = read_bars(spark, path, **kept)
+        return merge_bars(main, read_bars(spark, recent, **kept), keys=("symbol", "interval", "ts"))
+    table = bar_table(spark, path)
+    if table.exists():
+        lo, hi = str(start or date.min), str(end or date.max)
+        d = table.read(wanted=lambda p: p[0] == interval and lo <= p[1] <= hi)
+    else:
+        d = spark.read.schema(BAR_SCHEMA).parquet(path)
+    d = d.where(F.col("interval") == interval)
     if start is not None:
         d = d.where(F.col("session_date") >= F.lit(start))
     if end is not None:
@@ -179,28 +203,42 @@ def write_bars(bars: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     )
 
 
+def touched_partitions(rows: DataFrame) -> set[Partition]:
+    """The (interval, date) pairs of a batch, as text: at most one for each day of its look-back."""
+    found = rows.select(*[F.col(c).cast("string") for c in PARTITIONS]).distinct().collect()
+    return {tuple(r) for r in found}
+
+
 def upsert_bars(spark: SparkSession, new: DataFrame, path: str) -> bool:
-    """Merge new bars into the stored table, rewriting only the dates they touch.
+    """Merge new bars into the stored table as its next version, rewriting only the dates they touch.
 
-    Returns False, leaving the table alone, when there is nothing new.
+    Returns False, leaving the table alone, when there is nothing new. A repeated batch gives the same rows.
     """
-    if new.isEmpty():
+    touched = touched_partitions(new)
+    if not touched:
         return False
-    try:
-        stored = spark.read.schema(BAR_SCHEMA).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        write_bars(new, path)
-        return True
-    touched = new.select("interval", "session_date").distinct()
-    # the dates of a batch, at most one for each day of its look-back, as literals that prune the stored partitions
-    dates = [r.session_date for r in touched.select("session_date").distinct().collect()]
-    same_days = stored.where(F.col("session_date").isin(dates)).join(touched, ["interval", "session_date"], "left_semi")
-    write_bars(merge_bars(same_days, new, keys=("symbol", "interval", "ts")), path)
+    table = bar_table(spark, path)
+    now = table.version()
+    same_days = table.read(now, touched.__contains__)
+    table.commit(merge_bars(same_days, new, keys=("symbol", "interval", "ts")), ORDER, after=now)
     return True
 
 
+def replace_bars(spark: SparkSession, new: DataFrame, series: DataFrame, path: str, start: date, end: date) -> int:
+    """Forced refresh of the `series` (symbol, interval) in a session-date window, as the table's next version.
+
+    Their stored bars inside the window go, whether or not a new bar takes their place; other series and dates stay.
+    """
+    table = bar_table(spark, path)
+    now = table.version()
+    inside = {p for p in table.manifest(now) if str(start) <= p[1] <= str(end)}
+    named = series.select("symbol", "interval").distinct()
+    stored = table.read(now, inside.__contains__).join(named, ["symbol", "interval"], "left_anti")
+    rest = table.read(now, (touched_partitions(new) - inside).__contains__)
+    merged = merge_bars(stored.unionByName(rest), new, keys=("symbol", "interval", "ts"))
+    return table.commit(merged, ORDER, after=now, dropped=inside)
+
+
 def with_storage_columns(bars: DataFrame, interval: str, tz: str) -> DataFrame:
     """Add `interval` and the partition date to bars about to be stored."""
     return bars.withColumn("interval", F.lit(interval)).withColumn("session_date", session_date("ts", tz))

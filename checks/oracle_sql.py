@@ -480,20 +480,25 @@ NEW = "SELECT symbol, ts, session_date, open, high, low, close + 1.0 AS close, v
 STORED = "SELECT symbol, ts, session_date, open, high, low, close, volume FROM b WHERE session_date <= DATE '2024-01-19'"
 BARS_5MIN = pick("symbol, ts, session_date", OHLCV, "b")
 
-#: name -> (CTEs, extra CTE text, final SELECT)
-SPEC: dict[str, tuple[str, str, str]] = {
-    "bars": ("b", "", BARS_5MIN),
-    "stream_bars": ("b", "", BARS_5MIN),
-    "normalized_bars": (
-        "", "",
-        pick("symbol, ts", OHLCV, """(
-          SELECT symbol, ts, arg_max(p, event_id) AS p, arg_max(user_id, event_id) AS volume, max(event_id) AS last,
+NORMALIZED = """
+    SELECT symbol, ts, arg_max(p, event_id) AS p, arg_max(user_id, event_id) AS volume, max(event_id) AS last,
                  CASE WHEN max(event_id) % 10 = 0 THEN NULL ELSE arg_max(value, event_id) END AS open,
                  CASE WHEN max(event_id) % 10 = 0 THEN NULL ELSE arg_max(value, event_id) END AS high,
                  CASE WHEN max(event_id) % 10 = 0 THEN NULL ELSE arg_max(value, event_id) END AS low,
                  CASE WHEN max(event_id) % 10 = 0 THEN NULL ELSE arg_max(value, event_id) END AS close
           FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, value, CAST(user_id AS DOUBLE) AS user_id, event_id, value AS p FROM events)
-          GROUP BY 1, 2)"""),
+          GROUP BY 1, 2"""
+
+#: name -> (CTEs, extra CTE text, final SELECT)
+SPEC: dict[str, tuple[str, str, str]] = {
+    "bars": ("b", "", BARS_5MIN),
+    "stream_bars": ("b", "", BARS_5MIN),
+    "normalized_bars": ("", "", pick("symbol, ts", OHLCV, f"({NORMALIZED})")),
+    "store_round_trip": (
+        "", "",
+        pick("symbol, ts, CAST(ts AS DATE) AS session_date", OHLCV, f"""(
+          SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN close + 1.0 ELSE close END AS close) FROM ({NORMALIZED})
+          WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-30')"""),
     ),
     "merged_bars": (
         "b", f"new AS ({NEW}), stored AS ({STORED})",
@@ -726,7 +731,7 @@ def _closure(names: list[str]) -> list[str]:
 #: date columns per query; both sides hand dates over as ISO text
 DATES = {
     "session_date": (
-        "bars stream_bars merged_bars refreshed_bars bars_in_range exchange_sessions daily_close daily_vol trading_day_rank "
+        "bars stream_bars merged_bars refreshed_bars bars_in_range store_round_trip exchange_sessions daily_close daily_vol trading_day_rank "
         "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap trades session_rollup journal_compare"
     ),
     "exit_session_date": "trades",

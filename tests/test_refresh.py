@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from barwright.config import ExperimentConfig
-from barwright.sources.bars import upsert_bars, with_storage_columns
+from barwright.sources.bars import read_bars, upsert_bars, with_storage_columns
 from barwright.sources.ticks import bars_from_ticks
 from barwright.streaming.bars import stream_bars
 
@@ -31,9 +31,9 @@ def test_merge_rewrites_only_the_dates_of_the_batch(spark, tmp_path):
 
     for day in (13, 14):
         upsert_bars(spark, bars(day, 1.0), path)
-    before = {f for f in spark.read.parquet(path).inputFiles() if "session_date=2024-05-13" in f}
+    before = {f for f in read_bars(spark, path).inputFiles() if "session_date=2024-05-13" in f}
     upsert_bars(spark, bars(14, 2.0).where("minute(ts) < 2"), path)
-    stored = spark.read.parquet(path)
+    stored = read_bars(spark, path)
     assert before == {f for f in stored.inputFiles() if "session_date=2024-05-13" in f}
     got = {(r.session_date, r.close): r.n for r in stored.groupBy("session_date", "close").agg(F.count("*").alias("n")).collect()}
     assert got == {(date(2024, 5, 13), 1.0): 3, (date(2024, 5, 14), 2.0): 2, (date(2024, 5, 14), 1.0): 1}
