@@ -43,9 +43,9 @@ class ModelConfig:
     max_iter: int = 2000
     tol: float = 1e-4
     class_weight: str | Mapping[str, float] | None = None
-    #: weight the loss by class a second time, as fitting with both a class-weighted
-    #: estimator and class-based sample weights does
-    double_class_weight: bool = False
+    #: a logistic model weighs the loss by class twice: as a class-weighted estimator and by
+    #: class-based sample weights
+    double_class_weight: bool = True
     n_estimators: int = 100
     max_depth: int = 6
     learning_rate: float = 0.1

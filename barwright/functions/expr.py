@@ -59,3 +59,16 @@ def full(agg: Column, value: Column | str, w: WindowSpec, rows: int) -> Column:
 
 def ratio_or_zero(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(div(col(a).cast("double"), col(b).cast("double")), F.lit(0.0))
+
+
+def leading(names: list[str], first: list[str], prefix: str | None = None, *, sort_rest: bool = False) -> list[Column]:
+    """Columns for an export: those with the prefix by name, the `first` ones that exist, then the others."""
+    place = {c: (1, i) for i, c in enumerate(first)}
+
+    def key(at: int) -> tuple:
+        c = names[at]
+        if prefix and c.startswith(prefix):
+            return 0, c
+        return place.get(c) or ((2, c) if sort_rest else (2, at))
+
+    return [F.col(f"`{names[at]}`") for at in sorted(range(len(names)), key=key)]

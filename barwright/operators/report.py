@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.functions.expr import leading
+
 
 def leaderboard(runs: DataFrame, metric: str = "val_f1_macro", *, top: int = 10, by: list[str] | None = None) -> DataFrame:
     """The best runs per group with their rank; runs without the metric are left out.
@@ -72,18 +74,31 @@ GRID_COLUMNS = [
 
 
 def order_grid_columns(results: DataFrame) -> DataFrame:
-    grid = sorted(c for c in results.columns if c.startswith("grid."))
-    known = [c for c in GRID_COLUMNS if c in results.columns]
-    rest = [c for c in results.columns if c not in grid and c not in known]
-    return results.select(*[F.col(f"`{c}`") for c in [*grid, *known, *rest]])
-
-
-def run_report(log: DataFrame, metrics: DataFrame, classes: DataFrame, symbol: str) -> dict[str, DataFrame]:
-    """Tables behind a run report: latest metrics, its per-class rows, and the log tail."""
-    mine = metrics.where(F.col("symbol") == symbol)
-    latest = mine.orderBy(F.desc("run_id")).limit(1)
-    return {
-        "metrics": latest,
-        "per_class": classes.join(latest.select("run_id"), "run_id", "left_semi"),
-        "log_tail": log_tail(log, symbol),
-    }
+    return results.select(*leading(results.columns, GRID_COLUMNS, "grid."))
+
+
+def _latest(runs: DataFrame) -> DataFrame:
+    rest = [c for c in runs.columns if c != "symbol"]
+    last = runs.groupBy("symbol").agg(F.max_by(F.struct(*rest), "run_id").alias("r"))
+    return last.select("symbol", "r.*").select(runs.columns)
+
+
+def run_report(
+    log: DataFrame, metrics: DataFrame, classes: DataFrame, symbol: str | None = None, *, run_id: str | None = None, entries: int = 5
+) -> dict[str, DataFrame]:
+    """Tables behind a run report: a run's metrics, its per-class rows, and the log tail of its symbol.
+
+    The latest run of the symbol unless `run_id` names another; without a symbol, each symbol's latest run is reported.
+    """
+    mine = metrics if symbol is None else metrics.where(F.col("symbol") == symbol)
+    if run_id is not None:
+        chosen = mine.where(F.col("run_id") == run_id)
+    else:
+        chosen = _latest(mine)
+    keys = [c for c in ("symbol", "run_id") if c in classes.columns]
+    if symbol is not None:
+        tail = log_tail(log, symbol, entries=entries)
+    else:
+        w = Window.partitionBy("symbol").orderBy(F.desc("logged_at_utc"), F.desc("run_id"))
+        tail = log.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= entries).drop("_n")
+    return {"metrics": chosen, "per_class": classes.join(chosen.select(*keys), keys, "left_semi"), "log_tail": tail}

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from barwright.operators.labels import label_bars, label_issues, outcome_counts
 from barwright.operators.positions import slot_table, with_positions, with_session
 from barwright.plans import grid, jobs, meta, store, training
 from barwright.sources import bars as bar_store
-from barwright.sources import runlog
+from barwright.sources import runlog, tables
 from barwright.sources.journal import normalize_journal
 from barwright.sources.ticks import bars_from_ticks
 from barwright.streaming.bars import RECENT_SUFFIX, start_refresh, stream_bars, target_path
@@ -48,7 +49,6 @@ FEATURES = FeatureConfig(
     amihud_window_bars=10,
 )
 #: every group that is defined on all days
-BASIC = FeatureConfig()
 ALL_DAYS = replace(FEATURES, session_day_of_week=False)
 CFG = ExperimentConfig(
     exchange_timezone=TZ,
@@ -553,16 +553,19 @@ def q_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(journal.session_rollup(predictions(spark, sf_dir), by=["symbol"]))
 
 
-def q_journal_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as a journal with free header names, against the predictions of one symbol."""
+def raw_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     blank = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit(" Click "))
-    raw = e.where(F.col("event_type") == "purchase").select(
+    return e.where(F.col("event_type") == "purchase").select(
         F.date_format("ts", "yyyy-MM-dd").alias("Open Date"),
         F.when(F.col("event_id") % 5 == 0, F.lit("other")).otherwise(blank).alias("Ticker"),
         "event_id",
     )
-    j = normalize_journal(raw, "click").select("entry_date", "event_id")
+
+
+def q_journal_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as a journal with free header names, against the predictions of one symbol."""
+    j = normalize_journal(raw_journal(spark, sf_dir), "click").select("entry_date", "event_id")
     p = predictions(spark, sf_dir).where(F.col("symbol") == "click")
     return show(journal.compare_journal(j, p).fillna(0, ["pred_n"]))
 
@@ -615,73 +618,140 @@ def q_backfilled_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-class rows of the latest of many runs (one per symbol and session of predictions)."""
-    p = predictions(spark, sf_dir).where(F.col("symbol") == "click").withColumn(
-        "run_id", F.date_format("session_date", "yyyyMMdd")
+    """All parts of the report of each symbol's latest of many runs (one per session of predictions)."""
+    p = predictions(spark, sf_dir).withColumn("run_id", F.date_format("session_date", "yyyyMMdd"))
+    keys = ["symbol", "run_id"]
+    classes = evaluation.per_class(evaluation.confusion(p, keys), keys).drop("tp")
+    metrics = evaluation.f1_scores(p, keys)
+    parts = report.run_report(metrics.withColumn("logged_at_utc", F.col("run_id")), metrics, classes)
+
+    def part(name: str, label: Column, a: str, b: str, c: str, n: str) -> DataFrame:
+        return parts[name].select(
+            F.lit(name).alias("part"), *keys, label.alias("class"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"), F.col(n).alias("n")
+        )
+
+    quality = ("accuracy", "f1_macro", "f1_weighted", "n")
+    return show(
+        part("per_class", F.col("class"), "precision", "recall", "f1", "support")
+        .unionByName(part("metrics", F.lit(""), *quality)).unionByName(part("log_tail", F.lit(""), *quality))
     )
-    classes = evaluation.per_class(evaluation.confusion(p, ["run_id"]), ["run_id"]).drop("tp")
-    metrics = evaluation.f1_scores(p, ["run_id"]).withColumn("symbol", F.lit("click"))
-    log = metrics.withColumn("logged_at_utc", F.col("run_id"))
-    return show(report.run_report(log, metrics, classes, "click")["per_class"])
 
 
-# --- models (no SQL counterpart) ---------------------------------------------------------------
+# --- stored runs -------------------------------------------------------------------------------
+
+
+def q_run_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with different classes in one table: each read with its own columns, both read as one."""
+    p, path = predictions(spark, sf_dir, None), f"{scratch(spark)}/predictions"
+    tables.write_predictions(p.drop("proba_take_profit"), path, "r1", "all")
+    tables.write_predictions(p.drop("proba_vertical"), path, "r2", "all")
+    latest = tables.read_predictions(spark, path, split="all").withColumn("run_id", F.lit("latest"))
+    both = tables.read_runs(spark, path).unionByName(latest, allowMissingColumns=True)
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("proba_stop_loss", "proba_take_profit", "proba_vertical")]
+    return show(both.groupBy("run_id", "symbol", "split").agg(F.count(F.lit(1)).alias("n"), *sums))
+
 
+def stored_run(spark: SparkSession, sf_dir: str) -> jobs.Stored:
+    """Bars, labels and one run of predictions on storage, written once per input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "run")
+    if key not in _PATHS:
+        path = scratch(spark)
+        tables.write_labels(labels(spark, sf_dir), f"{path}/labels")
+        tables.write_predictions(predictions(spark, sf_dir, None), f"{path}/predictions", "r1", "all")
+        _PATHS[key] = path
+    path = _PATHS[key]
+    return jobs.Stored(spark, CFG, stored_bars(spark, sf_dir), f"{path}/labels", path)
+
+
+def q_stored_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(jobs.run_backtest(stored_run(spark, sf_dir), threshold=0.4))
+
+
+def q_stored_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = stored_run(spark, sf_dir)
+    jobs.run_backtest(at)
+    return show(tables.read_run(spark, f"{at.out}/trades", "r1").drop("run_id"))
 
-def basic(spark: SparkSession, sf_dir: str) -> ExperimentConfig:
-    return replace(CFG, features=BASIC)
 
+def q_stored_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(jobs.run_sweep(stored_run(spark, sf_dir))[0])
 
-def basic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "basic_matrix", lambda: matrix(spark, sf_dir, replace(CFG, features=BASIC)))
 
+def q_stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases of `journal_compare` as a CSV file, beside the stored run."""
+    at = stored_run(spark, sf_dir)
+    path = f"{scratch(spark)}/journal"
+    raw_journal(spark, sf_dir).write.option("header", True).csv(path)
+    rows, _ = jobs.run_journal(replace(at, cfg=replace(CFG, symbol="click")), path)
+    return show(rows.select("entry_date", F.col("event_id").cast("bigint").alias("event_id"), "session_date", "pred_n", "y_true_first", "y_pred_mode", "max_proba_mean", "model_matched").fillna(0, ["pred_n"]))
 
-def _metric_rows(spark: SparkSession, result: training.TrainResult) -> DataFrame:
-    return evaluation.classification_report(
-        result.predictions, ["split"], classes=result.metrics["classes"]
+
+# --- models ------------------------------------------------------------------------------------
+
+
+def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "matrix", lambda: matrix(spark, sf_dir))
+
+
+def _supports(scored: DataFrame, classes: list[str]) -> DataFrame:
+    """For each split and class its rows, all rows, and the sum of all probabilities, which is the number of rows."""
+    total = sum((F.col(training.proba_column(c)) for c in classes), F.lit(0.0))
+    counts = scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(total).alias("proba_total"), *[F.count_if(F.col("y_true") == c).alias(f"s{i}") for i, c in enumerate(classes)]
     )
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"s{i}").alias("support")) for i, c in enumerate(classes)]))
+    return counts.select("split", "n", "proba_total", each.alias("e")).select("split", "e.*", "n", "proba_total")
 
 
 def q_train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, standard scaling, balanced classes and uniqueness; is the fit at the optimum of its loss?"""
     cfg = replace(
-        CFG, features=BASIC, scaler="standard",
-        model=replace(CFG.model, class_weight="balanced", max_iter=100),
-        train=replace(CFG.train, sample_weight_method="uniqueness"),
+        CFG, scaler="standard", model=replace(CFG.model, class_weight="balanced"), train=replace(CFG.train, sample_weight_method="uniqueness")
     )
-    return _metric_rows(spark, training.train(basic_matrix(spark, sf_dir), cfg))
+    data = training.prepare(full_matrix(spark, sf_dir), cfg)
+    result = training.train(full_matrix(spark, sf_dir), cfg, data=data)
+    steepest = training.logistic_gradient(result.model, data, cfg)
+    return show(_supports(result.predictions, data.classes).withColumn("at_optimum", F.lit(steepest < 1e-3)))
 
 
 def q_train_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = replace(CFG.model, type="boosted_trees", n_estimators=3, max_depth=3, learning_rate=0.3)
-    cfg = replace(CFG, features=BASIC, scaler="robust", model=m)
-    return _metric_rows(spark, training.train(basic_matrix(spark, sf_dir), cfg))
+    """All features and the default settings of the boosted trees."""
+    cfg = replace(CFG, scaler="robust", model=replace(CFG.model, type="boosted_trees"))
+    result = training.train(full_matrix(spark, sf_dir), cfg)
+    return show(_supports(result.predictions, result.model.classes))
 
 
 def q_meta_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Primary fit, meta fit on gated train rows, then the three entry policies on validation rows."""
-    cfg = replace(CFG, features=BASIC, scaler="standard", model=replace(CFG.model, max_iter=100))
-    prepared = training.prepare(basic_matrix(spark, sf_dir), cfg)
-    scored = training.fit(prepared, cfg).predictions(prepared.rows).persist()
+    """Primary and meta model as one pipeline, stored and loaded: does it give every row the same meta_proba?"""
+    cfg = replace(CFG, scaler="standard")
+    data = training.prepare(full_matrix(spark, sf_dir), cfg)
+    primary = training.fit(data, cfg)
+    scored = primary.predictions(data.rows).persist()
     on_train = scored.where(F.col("split") == "train")
-    second = meta.train_meta(on_train, on_train, cfg, threshold=0.35)
-    val = second.score(scored.where(F.col("split") == "val"))
-    f = bt.with_trade_facts(val, labels(spark, sf_dir), positioned(spark, sf_dir))
-    return bt.compare_policies(f, cfg, threshold=second.threshold, act=second.act)
+    second = meta.train_meta(on_train, on_train, cfg, threshold=0.05)
+    path = f"{scratch(spark)}/both"
+    second.after(primary).save(path)
+    keys = ["symbol", "entry_time", "split"]
+    loaded = PipelineModel.load(path).transform(data.rows).select(*keys, F.col("meta_proba").alias("loaded"))
+    both = second.score(scored).join(loaded, keys)
+    same = F.abs(F.col("meta_proba") - F.col("loaded")) < 1e-12
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_same"))
 
 
 GRID_PARAMS = {"model.logistic_c": [0.1, 1.0], "train.min_val_rows": [1, 10**9]}
 
 
 def q_grid_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = grid.build_configs(basic(spark, sf_dir), GRID_PARAMS, prefix="g")
-    return show(grid.dry_run(spark, pairs, lambda cfg: basic_matrix(spark, sf_dir))).drop("error")
+    pairs = grid.build_configs(CFG, GRID_PARAMS, prefix="g")
+    return show(grid.dry_run(spark, pairs, lambda cfg: full_matrix(spark, sf_dir))).drop("error")
 
 
 def q_grid_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = grid.build_configs(
-        basic(spark, sf_dir), GRID_PARAMS, fixed={"model.max_iter": 100, "scaler": "standard"}, prefix="g"
-    )
-    return grid.train_all(spark, pairs, lambda cfg: basic_matrix(spark, sf_dir))
+    """Every combination on all features, one stored matrix for all."""
+    params = {"model.logistic_c": [0.1, 1.0], "scaler": ["standard", "robust"]}
+    pairs = grid.build_configs(CFG, params, prefix="g")
+    done = grid.train_all(spark, pairs, lambda cfg: full_matrix(spark, sf_dir))
+    return done.select("`grid.model.logistic_c`", "`grid.scaler`", "ok", "experiment_name", "train_n", "val_n", "error", "sample_weight_method")
 
 
 # --- streaming ---------------------------------------------------------------------------------

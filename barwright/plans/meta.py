@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +16,12 @@ from barwright.functions.expr import ratio_or_zero
 from barwright.operators.backtest import act_threshold, primary_threshold
 from barwright.operators.labels import TAKE_PROFIT
 from barwright.operators.weights import collected_class_weights, mapped_class_weight
+from barwright.plans.stages import META_COLUMNS, MetaFeatures, MetaProbability, with_meta_features
+from barwright.plans.training import Model
 
-META_COLUMNS = ("proba_stop_loss", "proba_take_profit", "proba_vertical", "max_proba")
 MAX_ITERATIONS = 2000
 
 
-def with_meta_features(predictions: DataFrame) -> DataFrame:
-    """The four probability columns; a class unknown to the primary model has probability 0."""
-    proba = [c for c in predictions.columns if c.startswith("proba_")]
-    d = predictions
-    if "max_proba" not in d.columns:
-        d = d.withColumn("max_proba", F.greatest(*proba) if len(proba) > 1 else F.col(proba[0]))
-    return d.withColumns({c: F.lit(0.0) for c in META_COLUMNS if c not in d.columns})
-
-
 def meta_target() -> Column:
     return (F.col("y_true") == TAKE_PROFIT).cast("double")
 
@@ -41,18 +33,36 @@ def leaked_rows(meta_train: DataFrame, primary_train: DataFrame) -> DataFrame:
 
 @dataclass
 class MetaModel:
-    model: LogisticRegressionModel
-    threshold: float
-    act: float
+    """A fitted pipeline from the four probabilities to `meta_proba`, with its gate and its least score to act on."""
+
+    pipeline: PipelineModel
+
+    @property
+    def _last(self) -> MetaProbability:
+        return self.pipeline.stages[-1]
+
+    @property
+    def threshold(self) -> float:
+        return self._last.getOrDefault("threshold")
+
+    @property
+    def act(self) -> float:
+        return self._last.getOrDefault("act")
 
     def score(self, predictions: DataFrame) -> DataFrame:
         """Add `meta_proba`, the probability that acting on the signal ends in take_profit."""
-        x = VectorAssembler(inputCols=list(META_COLUMNS), outputCol="_mx").transform(with_meta_features(predictions))
-        return (
-            self.model.transform(x)
-            .withColumn("meta_proba", vector_to_array("_mp")[1])
-            .drop("_mx", "_mp", "_mr", "_my")
-        )
+        return self.pipeline.transform(predictions)
+
+    def after(self, primary: Model) -> PipelineModel:
+        """Primary and meta model as one pipeline over feature rows."""
+        return PipelineModel([*primary.pipeline.stages, *self.pipeline.stages])
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> MetaModel:
+        return cls(PipelineModel.load(path))
 
 
 def train_meta(
@@ -67,7 +77,8 @@ def train_meta(
         raise ValueError(f"meta training has {n_leaked} rows outside the primary train split")
     balanced = collected_class_weights(gated, "target")
     weighted = gated.withColumn("class_weight", mapped_class_weight(balanced, "target"))
-    x = VectorAssembler(inputCols=list(META_COLUMNS), outputCol="_mx").transform(weighted).persist()
+    assembler = VectorAssembler(inputCols=list(META_COLUMNS), outputCol="_mx")
+    x = assembler.transform(weighted).persist()
     try:
         total = x.agg(F.sum("class_weight"), F.count_distinct("target")).first()
         if not total[0]:
@@ -81,7 +92,7 @@ def train_meta(
         ).fit(x)
     finally:
         x.unpersist()
-    return MetaModel(model, tau, act_threshold(cfg, act))
+    return MetaModel(PipelineModel([MetaFeatures(), assembler, model, MetaProbability(tau, act_threshold(cfg, act))]))
 
 
 def gated_metrics(scored: DataFrame, threshold: float, by: list[str]) -> DataFrame:

@@ -429,9 +429,24 @@ MATRIX_CTES = EMA_CTES + "," + MARKET_CTES + f""",
         FROM lab l JOIN fbar f ON f.symbol = l.symbol AND f.ts = l.entry_time
         JOIN tech t ON t.symbol = l.symbol AND t.ts = l.entry_time
         JOIN market m ON m.symbol = l.symbol AND m.ts = l.entry_time WHERE l.entry_pos >= {WARMUP}) WHERE {NOT_NULL})"""
+#: the matrix columns in the order of the groups
+MATRIX_ORDER = (
+    "log_entry_close " + GEOMETRY + " " + " ".join(FEATURES[g] for g in (
+        "intraday_range_pct", "log1p_volume", "returns_multi_horizon", "realized_vol_multi", "range_vol_multi", "session_time",
+        "volume_context", "vwap_distance", "bar_microstructure",
+    )) + " " + MARKET + " " + TECH + " " + FEATURES["order_flow_proxies"]
+).split()
 SPLIT = "CASE WHEN session_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-22' THEN 'train' ELSE 'val' END"
 IN_SPLIT = "session_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-31'"
 
+# Matrix rows with their split, without validation rows of classes that train lacks, and rows per class.
+SUPPORT_CTES = MATRIX_CTES + f""",
+    sm AS (SELECT *, {SPLIT} AS split FROM matrix WHERE {IN_SPLIT}),
+    sk AS (SELECT * FROM sm WHERE y IN (SELECT y FROM sm WHERE split = 'train')),
+    supports AS (
+      SELECT s.split, c.y AS class, count(*) FILTER (WHERE k.y = c.y) AS support, count(*) AS n
+      FROM (SELECT DISTINCT split FROM sk) s CROSS JOIN (SELECT DISTINCT y FROM sk WHERE split = 'train') c JOIN sk k USING (split) GROUP BY 1, 2)"""
+
 # Weights on the training rows, by counting open labels at every position.
 cte("tr", "lab", f"SELECT *, barrier_outcome AS y FROM lab WHERE session_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-22'")
 cte("cover", "tr", "SELECT symbol, entry_time, unnest(range(entry_pos + 1, entry_pos + bars_forward + 1)) AS t FROM tr")
@@ -666,6 +681,7 @@ SPEC: dict[str, tuple[str, str, str]] = {
     ),
 }
 
+SPEC |= {"stored_backtest": SPEC["trade_summary"], "stored_trades": SPEC["trades"], "stored_sweep": SPEC["threshold_sweep"]}
 JOURNAL = """
     j AS (SELECT CAST(ts AS DATE) AS entry_date, event_id FROM events WHERE event_type = 'purchase' AND event_id % 5 <> 0),
     roll AS (SELECT v.session_date, count(*) AS pred_n, arg_min(y_true, entry_time) AS y_true_first, any_value(m.y_pred_mode) AS y_pred_mode, avg(max_proba) AS max_proba_mean
@@ -674,6 +690,7 @@ JOURNAL = """
       USING (session_date) WHERE v.symbol = 'click' GROUP BY 1),
     jc AS (SELECT j.*, r.* REPLACE (coalesce(r.pred_n, 0) AS pred_n), coalesce(r.pred_n > 0, FALSE) AS model_matched FROM j LEFT JOIN roll r ON r.session_date = j.entry_date)"""
 SPEC |= {
+    "stored_journal": ("val", JOURNAL, pick("entry_date, event_id, session_date, pred_n, y_true_first, y_pred_mode, model_matched", "max_proba_mean", "jc")),
     "journal_compare": ("val", JOURNAL, pick("entry_date, event_id, session_date, pred_n, y_true_first, y_pred_mode, model_matched", "max_proba_mean", "jc")),
     "journal_matches": ("val", JOURNAL, "SELECT count(*) AS n_rows, count(*) FILTER (WHERE model_matched) AS n_matched FROM jc"),
     "runlog_flat": (
@@ -697,18 +714,42 @@ SPEC |= {
         pick("run_id, logged_at_utc", "train_accuracy", "(SELECT run_id, logged_at_utc, coalesce(train_accuracy, value * 2) AS train_accuracy FROM runs ORDER BY logged_at_utc DESC LIMIT 10)"),
     ),
     "run_report": (
-        "val", "vv AS (SELECT *, strftime(session_date, '%Y%m%d') AS run_id FROM val WHERE symbol = 'click'), " + report_ctes("vv", "run_id"),
-        pick("run_id, class, support", "precision recall f1", "pc", "WHERE run_id = (SELECT max(run_id) FROM pc)"),
+        "val", "vv AS (SELECT *, strftime(session_date, '%Y%m%d') AS run_id FROM val), " + report_ctes("vv", "symbol, run_id")
+        + """, m AS (SELECT symbol, run_id, CAST(sum(support) AS BIGINT) AS n, sum(tp) / sum(support) AS accuracy, avg(f1) AS f1_macro,
+                    sum(f1 * support) / sum(support) AS f1_weighted, row_number() OVER (PARTITION BY symbol ORDER BY run_id DESC) AS age FROM pc GROUP BY 1, 2)""",
+        pick("part, symbol, run_id, class, n", "a b c", """(
+          SELECT 'per_class' AS part, pc.symbol, pc.run_id, class, precision AS a, recall AS b, f1 AS c, support AS n FROM pc JOIN m USING (symbol, run_id) WHERE age = 1
+          UNION ALL SELECT 'metrics', symbol, run_id, '', accuracy, f1_macro, f1_weighted, n FROM m WHERE age = 1
+          UNION ALL SELECT 'log_tail', symbol, run_id, '', accuracy, f1_macro, f1_weighted, n FROM m WHERE age <= 5)"""),
+    ),
+    "run_columns": (
+        "pred", "",
+        pick("run_id, symbol, split, n", "sum_proba_stop_loss sum_proba_take_profit sum_proba_vertical", """(
+          SELECT run_id, symbol, split, count(*) AS n, sum(proba_stop_loss) AS sum_proba_stop_loss,
+                 CASE WHEN run_id <> 'r1' THEN sum(proba_take_profit) END AS sum_proba_take_profit,
+                 CASE WHEN run_id = 'r1' THEN sum(proba_vertical) END AS sum_proba_vertical
+          FROM pred CROSS JOIN (SELECT unnest(['r1', 'r2', 'latest']) AS run_id) GROUP BY 1, 2, 3)"""),
+    ),
+    "train_logistic": ("lab fbar daily", SUPPORT_CTES, "SELECT split, class, support, n, CAST(n AS DOUBLE) AS proba_total, TRUE AS at_optimum FROM supports"),
+    "train_boosted": ("lab fbar daily", SUPPORT_CTES, "SELECT split, class, support, n, CAST(n AS DOUBLE) AS proba_total FROM supports"),
+    "meta_label": ("lab fbar daily", SUPPORT_CTES, "SELECT split, count(*) AS n_rows, count(*) AS n_same FROM sk GROUP BY 1"),
+    "grid_train": (
+        "lab fbar daily", SUPPORT_CTES,
+        """SELECT CAST(c AS DOUBLE) AS "grid.model.logistic_c", s AS "grid.scaler", TRUE AS ok, 'g_logistic_c' || CASE WHEN c < 1 THEN '0p1' ELSE '1' END || '_scaler' || s AS experiment_name,
+               (SELECT count(*) FROM sk WHERE split = 'train') AS train_n, (SELECT count(*) FROM sk WHERE split = 'val') AS val_n, '' AS error, 'none' AS sample_weight_method
+           FROM (SELECT unnest([0.1, 1.0]) AS c) CROSS JOIN (SELECT unnest(['standard', 'robust']) AS s)""",
     ),
     "grid_dry_run": (
-        "lab b", f"""s AS (SELECT l.barrier_outcome AS y, {SPLIT.replace('session_date', 'l.session_date')} AS split FROM lab l JOIN b ON b.symbol = l.symbol AND b.ts = l.entry_time WHERE l.{IN_SPLIT}),
-        t AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'val' AND y IN (SELECT y FROM s WHERE split = 'train')) AS va,
-                     count(*) FILTER (WHERE split = 'val' AND y NOT IN (SELECT y FROM s WHERE split = 'train')) AS lost FROM s),
+        "lab fbar daily", SUPPORT_CTES + """,
+        t AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'val') AS va, (SELECT count(*) FROM sm) - count(*) AS lost FROM sk),
+        bal AS (SELECT split, string_agg(y || '=' || n, ',' ORDER BY y) AS text FROM (SELECT split, y, count(*) AS n FROM sm GROUP BY 1, 2) GROUP BY 1),
         c AS (SELECT c, m FROM (SELECT unnest([0.1, 1.0]) AS c) CROSS JOIN (SELECT unnest([1, 1000000000]) AS m))""",
-        """SELECT CAST(c AS DOUBLE) AS "grid.model.logistic_c", CAST(m AS BIGINT) AS "grid.train.min_val_rows", va >= m AS ready,
+        f"""SELECT CAST(c AS DOUBLE) AS "grid.model.logistic_c", CAST(m AS BIGINT) AS "grid.train.min_val_rows", va >= m AS ready,
                'g_logistic_c' || CASE WHEN c < 1 THEN '0p1' ELSE '1' END || '_min_val_rows' || m AS experiment_name,
                CASE WHEN va >= m THEN tr ELSE 0 END AS train_n, CASE WHEN va >= m THEN va ELSE 0 END AS val_n,
-               'logistic_regression' AS model_type, 'none' AS sample_weight_method, CAST(7 AS BIGINT) AS n_feature_columns,
+               'logistic_regression' AS model_type, 'none' AS sample_weight_method, CAST({len(MATRIX_ORDER)} AS BIGINT) AS n_feature_columns,
+               '{','.join(MATRIX_ORDER)}' AS feature_columns,
+               (SELECT text FROM bal WHERE split = 'train') AS train_balance, (SELECT text FROM bal WHERE split = 'val') AS val_balance,
                CASE WHEN va >= m THEN lost ELSE 0 END AS val_rows_dropped_unseen FROM t, c""",
     ),
 }
@@ -732,10 +773,10 @@ def _closure(names: list[str]) -> list[str]:
 DATES = {
     "session_date": (
         "bars stream_bars merged_bars refreshed_bars bars_in_range store_round_trip exchange_sessions daily_close daily_vol trading_day_rank "
-        "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap trades session_rollup journal_compare"
+        "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap trades stored_trades session_rollup journal_compare stored_journal"
     ),
-    "exit_session_date": "trades",
-    "entry_date": "journal_compare",
+    "exit_session_date": "trades stored_trades",
+    "entry_date": "journal_compare stored_journal",
     "stored_start": "stored_bounds",
     "stored_end": "stored_bounds",
     "range_start": "missing_ranges calendar_chunks",

@@ -77,7 +77,7 @@ def test_train_stores_a_run_that_can_be_backtested(spark, store):
     assert runlog.read_log(spark, f"{out}/log", "aaa").first()["run_id"] == result.run_id
     total = result.predictions.select(sum(F.col(training.proba_column(c)) for c in result.model.classes).alias("s"))
     assert total.agg(F.max(F.abs(F.col("s") - 1))).first()[0] < 1e-9
-    loaded = training.Model.load(spark, f"{out}/runs/{result.run_id}/model")
+    loaded = training.Model.load(f"{out}/runs/{result.run_id}/model")
     rows = training.prepare(jobs.configured_matrix(spark, CFG, str(store / "bars"), str(store / "labels")), CFG).rows
     a = loaded.predictions(rows).orderBy("entry_time", "split").toPandas()
     b = result.predictions.orderBy("entry_time", "split").toPandas()
@@ -88,8 +88,77 @@ def test_train_stores_a_run_that_can_be_backtested(spark, store):
     gated = result.predictions.where("split = 'val' and proba_take_profit >= 0.01").count()
     assert s["n_predictions"] == result.metrics["val_n"]
     assert s["n_signals"] == gated == trades.count() > 0
-    tables.write_trades(trades, str(store / "trades"))
-    tables.write_csv(summary, str(store / "summary"))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, store):
+    out = str(store / "jobs")
+    jobs.run_train(spark, CFG, str(store / "bars"), str(store / "labels"), out)
+    return jobs.Stored(spark, CFG, str(store / "bars"), str(store / "labels"), out)
+
+
+def test_a_stored_run_is_backtested_and_swept(spark, stored):
+    run = stored.run_id(None)
+    s = jobs.run_backtest(stored, threshold=0.01).first()
+    trades = tables.read_run(spark, f"{stored.out}/trades", run)
+    assert trades.count() == s["n_signals"] > 0 and s["tp_threshold"] == 0.01
+    again = jobs.run_backtest(stored, run_id=run, threshold=1.0).first()
+    assert again["n_signals"] == 0 and tables.read_run(spark, f"{stored.out}/trades", run).count() == 0
+    sweep, best = jobs.run_sweep(stored, thresholds=[0.01, 0.02, 0.9], min_signals=1)
+    at = {r["threshold"]: r for r in sweep.collect()}
+    assert all(at[0.01][k] == pytest.approx(s[k]) for k in ("n_signals", "n_trades_taken", "gross_return_sum", "max_drawdown_cumulative_sum"))
+    csv = spark.read.csv(stored.folder(run, "val_sweep_csv"), header=True)
+    assert csv.columns == sweep.columns and csv.count() == 3 and best.count() == 1
+    with pytest.raises(ValueError, match="no run"):
+        jobs.run_backtest(stored, run_id="r0")
+
+
+def test_a_stored_meta_model_compares_policies(spark, stored, matrix):
+    run = stored.run_id(None)
+    model = jobs.run_meta(stored, threshold=0.05, act=0.4)
+    loaded = meta.MetaModel.load(stored.folder(run, "meta"))
+    assert (loaded.threshold, loaded.act) == (0.05, 0.4)
+    primary = training.Model.load(stored.folder(run, "model"))
+    both = loaded.after(primary)
+    both.write().overwrite().save(stored.folder(run, "both"))
+    rows = training.prepare(matrix, CFG).rows
+    want = model.score(primary.predictions(rows)).select("entry_time", "split", "meta_proba")
+    got = type(both).load(stored.folder(run, "both")).transform(rows).select("entry_time", "split", F.col("meta_proba").alias("loaded"))
+    assert want.join(got, ["entry_time", "split"]).where("abs(meta_proba - loaded) > 1e-12").count() == 0
+    metrics = {r["split"]: r for r in spark.read.json(stored.folder(run, "meta_metrics")).collect()}
+    assert set(metrics) == {"train", "val"} and metrics["val"]["n_gated"] > 0
+    d = jobs.run_compare(stored)
+    assert {r["policy"] for r in d.collect()} == {B.POLICY_ARGMAX, B.POLICY_THRESHOLD, B.POLICY_META}
+
+
+def test_a_journal_beside_a_stored_run(spark, stored, tmp_path):
+    f = tmp_path / "j.csv"
+    f.write_text("Date,Ticker\n2024-01-23,aaa\n2024-01-23,zzz\n2030-01-01,AAA\n")
+    rows, counts = jobs.run_journal(stored, str(f))
+    assert rows.count() == 2 and tuple(counts.first()) == (2, 1)
+
+
+def test_the_gradient_vanishes_at_the_optimum_only(spark, matrix):
+    cfg = replace(CFG, model=ModelConfig(max_iter=2000, tol=1e-9, class_weight="balanced"))
+    data = training.prepare(matrix, cfg)
+    model = training.fit(data, cfg)
+    assert training.logistic_gradient(model, data, cfg) < 1e-4
+    rough = replace(cfg, model=ModelConfig(max_iter=100, tol=0.9, class_weight="balanced"))
+    assert training.logistic_gradient(training.fit(data, rough), data, cfg) > 1e-4
+
+
+def test_class_weights_count_twice_in_logistic_fits(spark, matrix):
+    data = training.prepare(matrix, CFG)
+    for kind, power in (("logistic_regression", 2), ("boosted_trees", 1)):
+        cfg = replace(CFG, model=ModelConfig(type=kind, class_weight="balanced"))
+        d = training.weighted_rows(data, cfg).select("class_weight", "fit_weight").distinct().collect()
+        assert all(r["fit_weight"] == pytest.approx(r["class_weight"] ** power) for r in d)
+
+
+def test_a_run_record_names_the_settings(spark, stored):
+    r = runlog.read_log(spark, f"{stored.out}/log").first().asDict()
+    assert r["solver"] == "l-bfgs" and r["drop_val_unseen_classes"] is True and r["export_predictions"] == "all"
+    assert r["min_val_rows"] == 1 and "take_profit" in r["classes"]
 
 
 def test_row_floors_and_unseen_classes():
@@ -108,7 +177,7 @@ def test_scaler_sees_train_rows_only(spark, matrix):
     a = training.fit(prepared, CFG)
     moved = prepared.rows.withColumn("log1p_volume", F.when(F.col("split") == "val", 1e6).otherwise(F.col("log1p_volume")))
     b = training.fit(replace(prepared, rows=moved), CFG)
-    assert list(a.prep.stages[1].mean) == list(b.prep.stages[1].mean)
+    assert list(a.pipeline.stages[1].mean) == list(b.pipeline.stages[1].mean)
 
 
 def test_boosted_trees_with_weights(spark, matrix):
@@ -121,8 +190,9 @@ def test_boosted_trees_with_weights(spark, matrix):
 
 
 def test_labels_are_indexed_alphabetically(spark):
-    d = spark.createDataFrame([("b",), ("a",), ("b",)], "y string")
-    assert training.label_indexer().fit(d).labels == ["a", "b"]
+    d = spark.createDataFrame([("b",), ("a",), ("z",)], "y string")
+    got = {r["y"]: r["i"] for r in d.select("y", training.label_index(["a", "b"]).alias("i")).collect()}
+    assert (got["a"], got["b"]) == (0.0, 1.0)
 
 
 def test_meta_labelling(spark, matrix, store):
