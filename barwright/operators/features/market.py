@@ -33,9 +33,17 @@ def market_context(fc: FeatureConfig) -> Group:
 
 
 def with_market_context(
-    entries: DataFrame, index_bars: DataFrame, proxy_daily: DataFrame, fc: FeatureConfig
+    rows: DataFrame, index_bars: DataFrame, proxy_daily: DataFrame, fc: FeatureConfig
 ) -> DataFrame:
-    """Keep entries whose time is in the index series past its warm-up; add both columns."""
+    """Add both columns to rows with ts and session_date; null where the index has no bar at that time or too few before it.
+
+    Meant for narrow rows, bars as they are stored or entries alone: one row for each time and date meets many symbols,
+    and what is shuffled for that should be small.
+    """
     k = fc.market_spy_return_bars
     idx = index_returns(index_bars, k).where(F.col("spy_pos") >= k).drop("spy_pos")
-    return entries.join(idx, "ts").join(proxy_change(proxy_daily), "session_date", "left")
+    return rows.join(idx, "ts", "left").join(proxy_change(proxy_daily), "session_date", "left")
+
+
+def market_columns(fc: FeatureConfig) -> list[str]:
+    return list(market_context(fc).final)

@@ -1,7 +1,7 @@
 """Features on bars, and the labelled feature matrix.
 
-Labels travel with the bars as one nullable struct: they are joined to the narrow bar rows
-first, so the wide feature rows are never shuffled for a join.
+Labels travel with the bars as one nullable struct, market columns with the labels: they are joined to
+narrow rows first, so the wide feature rows are never shuffled for a join.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.config import ExperimentConfig, FeatureConfig
+from barwright.functions.calendar import session_date
 from barwright.operators.features import session, technical
 from barwright.operators.features.group import with_frames
-from barwright.operators.features.market import with_market_context
+from barwright.operators.features.market import market_columns, with_market_context
 from barwright.operators.features.registry import feature_columns, groups, warmup_bars
 from barwright.operators.positions import SLOT_KEYS, chunk_size, own_rows, slot_table, with_halo, with_positions, with_prev_close
 
@@ -101,13 +102,16 @@ def feature_table(
     index_bars: DataFrame | None = None,
     proxy_daily: DataFrame | None = None,
 ) -> DataFrame:
-    """Features for every bar of session-dated bars (no labels, no filters); null before warm-up."""
+    """Features for every bar of session-dated bars (no labels, no filters); null before warm-up.
+
+    A bar at a time or date without an index bar or proxy close has null market columns.
+    """
     if fc.label_geometry:
         raise ValueError("label_geometry needs labels; use feature_matrix")
     _require(bars, required_bar_columns(fc), "bars")
-    d = _with_bar_features(bars, fc).withColumn("entry_close", F.col("close"))
     if fc.market_context:
-        d = with_market_context(d, index_bars, proxy_daily, fc)
+        bars = with_market_context(bars, index_bars, proxy_daily, fc)
+    d = _with_bar_features(bars, fc).withColumn("entry_close", F.col("close"))
     return _project(d, fc, "symbol", "ts", "session_date", "pos")
 
 
@@ -133,11 +137,14 @@ def feature_matrix(
         closes = bars.select("symbol", F.col("ts").alias("entry_time"), F.col("close").alias("entry_close"))
         labels = labels.join(closes, ["symbol", "entry_time"])
     fields = [c for c in LABEL_FIELDS if c in labels.columns]
-    marks = labels.select("symbol", F.col("entry_time").alias("ts"), F.struct(*fields).alias("label"))
-    d = _with_bar_features(bars, fc, marks)
-    d = d.where(F.col("pos") >= warmup_bars(fc)).select("*", "label.*").drop("label")
+    marks = labels.select("symbol", F.col("entry_time").alias("ts"), *fields)
+    carried = list(fields)
     if fc.market_context:
-        d = with_market_context(d, index_bars, proxy_daily, fc)
+        marks = marks.withColumn("session_date", session_date("ts", cfg.exchange_timezone))
+        marks = with_market_context(marks, index_bars, proxy_daily, fc)
+        carried += market_columns(fc)
+    d = _with_bar_features(bars, fc, marks.select("symbol", "ts", F.struct(*carried).alias("label")))
+    d = d.where(F.col("pos") >= warmup_bars(fc)).select("*", "label.*").drop("label")
     kept = [c for c in ("bars_forward",) if c in fields]
     final = {k: c for g in groups(fc).values() for k, c in g.final.items()}
     # The features leave through a generator, which a filter cannot be pushed through: the null

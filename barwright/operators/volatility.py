@@ -105,3 +105,9 @@ def volatility_summary(days: DataFrame, vol_col: str) -> DataFrame:
         *quart,
         F.max(v).alias("max"),
     )
+
+
+def last_rows(bars: DataFrame, rows: int = 8) -> DataFrame:
+    """The last bars of each symbol by time, with their place counted from the end; a rank limit applies before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    return bars.withColumn("from_end", place).where(F.col("from_end") <= rows)

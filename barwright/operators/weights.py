@@ -117,10 +117,18 @@ def with_fit_weights(
     class_weight: str | Mapping[str, float] | None = None,
     y: str = "y",
 ) -> DataFrame:
-    """Add `fit_weight` = (uniqueness if asked) x (class weight if asked)."""
+    """Add `fit_weight` = (uniqueness if asked) x (class weight if asked).
+
+    For uniqueness every train row needs its label's position and length; a row without them stops the job.
+    """
     if method not in ("none", "uniqueness"):
         raise ValueError(f"unknown sample weight method {method!r}")
-    d = uniqueness_weights(train) if method == "uniqueness" else train.withColumn("uniqueness", F.lit(1.0))
+    if method == "uniqueness":
+        lost = F.col("entry_pos").isNull() | F.col("bars_forward").isNull()
+        found = F.when(lost, F.raise_error(F.lit("a train row lacks its label's position or bars_forward")).cast("bigint"))
+        d = uniqueness_weights(train.withColumn("bars_forward", found.otherwise(F.col("bars_forward"))))
+    else:
+        d = train.withColumn("uniqueness", F.lit(1.0))
     weights = collected_class_weights(train, y) if class_weight == "balanced" else (class_weight or {})
     return d.withColumn("class_weight", mapped_class_weight(weights, y)).withColumn(
         "fit_weight", F.col("uniqueness") * F.col("class_weight")

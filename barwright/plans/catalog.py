@@ -343,6 +343,11 @@ def q_vol_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(volatility.volatility_summary(_daily(spark, sf_dir), "vol_5d_ann"))
 
 
+def q_vol_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = volatility.add_volatility(bars(spark, sf_dir), CFG.vol_lookback_trading_days)
+    return show(volatility.last_rows(d.select("symbol", "ts", "close", "sigma_daily_5d", "vol_5d_ann")))
+
+
 def q_triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(label_bars(bars(spark, sf_dir), CFG))
 
@@ -502,6 +507,28 @@ def q_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(bt.trades(signals, CFG, ["symbol"]))
 
 
+def portfolio_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prediction in the account of all symbols, and those of two symbols in an account of their own too."""
+    own = F.when(F.col("symbol").isin("click", "view"), F.array(F.lit("all"), F.lit("two"))).otherwise(F.array(F.lit("all")))
+    return facts(spark, sf_dir).withColumn("account", F.explode(own))
+
+
+def q_portfolio_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap of an account over many symbols, whose signals share bar times."""
+    signals = portfolio_facts(spark, sf_dir).where(bt.is_signal(bt.POLICY_ARGMAX))
+    d = bt.trades(signals, CFG, ["account"])
+    return show(d.select("account", "symbol", "entry_time", "session_date", "taken", "blocked_reason"))
+
+
+def q_portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same accounts' economics, from the one-pass summary of the entry policies."""
+    d = bt.compare_policies(portfolio_facts(spark, sf_dir).drop("meta_proba"), CFG, base=["account"])
+    argmax = d.where(F.col("policy") == bt.POLICY_ARGMAX)
+    return show(argmax.select(
+        "account", "n_signals", "n_trades_taken", "n_trades_blocked_day_trade_cap", "gross_return_sum", "max_drawdown_cumulative_sum"
+    ))
+
+
 def q_trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary, _ = jobs.backtest(facts(spark, sf_dir), CFG, threshold=0.4)
     return show(summary)

@@ -140,13 +140,13 @@ def bd(d: str) -> str:
     return f"(({days} // 7) * 5 + least({days} % 7, 4))"
 
 
-def greedy(signals: str, key: str, cap: int, window: int) -> str:
+def greedy(signals: str, key: str, cap: int, window: int, order: str = "entry_time") -> str:
     """Walk the candidates of each group in time order, remembering accepted weekday numbers.
 
     `signals` yields {key}, entry_time, session_date, candidate and payload columns.
     """
     return f"""
-    ordered AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY entry_time) AS i FROM ({signals})),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM ({signals})),
     walk AS (
       SELECT {key}, i, candidate AND FALSE AS over_cap,
              CASE WHEN candidate AND isodow(session_date) < 6 THEN [{bd('session_date')}] ELSE CAST([] AS BIGINT[]) END AS held,
@@ -398,7 +398,7 @@ GAP_CTES = (
 MARKET_CTES = """
     idx AS (SELECT ts, pos AS spy_pos, ln(close / greatest(lag(close, 5) OVER (ORDER BY pos), 1e-12)) AS spy_ret_5m FROM b WHERE symbol = 'view'),
     prox AS (SELECT session_date, lag(close, 1) OVER w / lag(close, 2) OVER w - 1.0 AS vix_chg_1d FROM daily WHERE symbol = 'signup' WINDOW w AS (ORDER BY session_date)),
-    market AS (SELECT b.symbol, b.ts, i.spy_ret_5m, p.vix_chg_1d FROM b JOIN idx i USING (ts) LEFT JOIN prox p USING (session_date) WHERE i.spy_pos >= 5)"""
+    market AS (SELECT b.symbol, b.ts, CASE WHEN i.spy_pos >= 5 THEN i.spy_ret_5m END AS spy_ret_5m, p.vix_chg_1d FROM b LEFT JOIN idx i USING (ts) LEFT JOIN prox p USING (session_date))"""
 
 FEATURES: dict[str, str] = {
     "log_entry_close": "log_entry_close",
@@ -504,6 +504,11 @@ NORMALIZED = """
           FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, value, CAST(user_id AS DOUBLE) AS user_id, event_id, value AS p FROM events)
           GROUP BY 1, 2"""
 
+#: one account for all symbols and one for two of them; signals of several symbols at one time are in the order of their names
+PORTFOLIO = """
+    SELECT account, symbol, entry_time, session_date, missing_exit, pnl, exit_session_date, NOT missing_exit AND exit_session_date = session_date AS candidate
+    FROM facts JOIN (SELECT unnest(['all', 'two']) AS account) a ON account = 'all' OR symbol IN ('click', 'view') WHERE y_pred = 'take_profit'"""
+
 #: name -> (CTEs, extra CTE text, final SELECT)
 SPEC: dict[str, tuple[str, str, str]] = {
     "bars": ("b", "", BARS_5MIN),
@@ -556,6 +561,12 @@ SPEC: dict[str, tuple[str, str, str]] = {
                  quantile_cont(vol_5d_ann, 0.25) AS p25, quantile_cont(vol_5d_ann, 0.5) AS p50, quantile_cont(vol_5d_ann, 0.75) AS p75, max(vol_5d_ann) AS max
           FROM bv GROUP BY 1)"""),
     ),
+    "vol_last_rows": (
+        "b dvol", "",
+        pick("symbol, ts, from_end", "close sigma_daily_5d vol_5d_ann", """(
+          SELECT b.symbol, b.ts, b.close, d.sigma_daily_5d, d.vol_5d_ann, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts DESC) AS from_end
+          FROM b LEFT JOIN dvol d USING (symbol, session_date))""", "WHERE from_end <= 8"),
+    ),
     "triple_barrier": ("lab", "", pick(LAB_KEYS, LAB_DOUBLES, "lab")),
     "triple_barrier_hourly": ("lab_h", "", pick(LAB_KEYS, LAB_DOUBLES, "lab_h")),
     "label_mix": ("lab", "", "SELECT symbol, barrier_outcome, count(*) AS n FROM lab GROUP BY 1, 2"),
@@ -621,6 +632,22 @@ SPEC: dict[str, tuple[str, str, str]] = {
         "facts", trade_ctes("SELECT * FROM facts WHERE y_pred = 'take_profit'", "symbol"),
         pick("symbol, entry_time, session_date, y_true, y_pred, taken, blocked_reason, exit_session_date", "proba_take_profit pnl_fraction", "trades"),
     ),
+    "portfolio_cap": (
+        "facts", greedy(PORTFOLIO, "account", 3, 5, "entry_time, symbol"),
+        """SELECT account, symbol, entry_time, session_date, NOT missing_exit AND NOT over_cap AS taken,
+                  CASE WHEN missing_exit THEN 'missing_ohlcv_exit' WHEN over_cap THEN 'day_trade_cap' END AS blocked_reason FROM decided""",
+    ),
+    "portfolio_summary": (
+        "facts", greedy(PORTFOLIO, "account", 3, 5, "entry_time, symbol") + """,
+        taken AS (SELECT *, sum(pnl) OVER w AS cum FROM decided WHERE NOT missing_exit AND NOT over_cap
+                  WINDOW w AS (PARTITION BY account ORDER BY entry_time, symbol ROWS UNBOUNDED PRECEDING)),
+        peaks AS (SELECT *, max(cum) OVER (PARTITION BY account ORDER BY entry_time, symbol ROWS UNBOUNDED PRECEDING) AS peak FROM taken)""",
+        pick("account, n_signals, n_trades_taken, n_trades_blocked_day_trade_cap", "gross_return_sum max_drawdown_cumulative_sum", """(
+          SELECT d.*, p.gross_return_sum, p.max_drawdown_cumulative_sum FROM (
+            SELECT account, count(*) AS n_signals, count(*) FILTER (WHERE NOT missing_exit AND NOT over_cap) AS n_trades_taken,
+                   count(*) FILTER (WHERE over_cap) AS n_trades_blocked_day_trade_cap FROM decided GROUP BY 1) d
+          JOIN (SELECT account, sum(pnl) AS gross_return_sum, min(cum - peak) AS max_drawdown_cumulative_sum FROM peaks GROUP BY 1) p USING (account))"""),
+    ),
     "trade_summary": (
         "facts", summary_sql("SELECT * FROM facts WHERE proba_take_profit >= 0.4", "symbol", "SELECT DISTINCT symbol FROM val"),
         pick(f"symbol, 'proba_threshold_take_profit' AS policy, CAST(0.4 AS DOUBLE) AS tp_threshold, {SUMMARY_COUNTS}", SUMMARY_DOUBLES, "summary"),
@@ -773,7 +800,7 @@ def _closure(names: list[str]) -> list[str]:
 DATES = {
     "session_date": (
         "bars stream_bars merged_bars refreshed_bars bars_in_range store_round_trip exchange_sessions daily_close daily_vol trading_day_rank "
-        "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap trades stored_trades session_rollup journal_compare stored_journal"
+        "triple_barrier triple_barrier_hourly feature_matrix daytrade_cap portfolio_cap trades stored_trades session_rollup journal_compare stored_journal"
     ),
     "exit_session_date": "trades stored_trades",
     "entry_date": "journal_compare stored_journal",

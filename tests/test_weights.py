@@ -37,6 +37,8 @@ def test_missing_position_weighs_one_and_short_span_fails(spark):
     assert values(W.uniqueness_weights(d)) == [1.0, 1.0]
     with pytest.raises(Exception, match="bars_forward"):
         W.uniqueness_weights(spans(spark, [(1, 0)])).collect()
+    with pytest.raises(Exception, match="lacks its label"):
+        W.with_fit_weights(d.withColumn("y", F.lit("a")), method="uniqueness").collect()
 
 
 def test_symbols_do_not_overlap_each_other(spark):
