@@ -31,17 +31,13 @@ ORDER, SHARED, DISCOUNT = 6, 3, 0.75
 SPACE = 32
 CLASSES = ("toxic", "plain")
 PASSAGE = 8
+#: bytes of text whose words are counted together in a task
+COUNTED_BYTES = 1 << 23
 #: a word counts as toxic by so much in log-likelihood
 MARGIN = 2.0
 LIKELIHOODS = ["toxic_ll", "plain_ll", "n_bytes", "n_words", "peak", "passage", "excess"]
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z) words of a text."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-    return F.filter(F.split(low, " +"), lambda w: w != "")
-
-
 def stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words, each between two spaces, with the word of each byte and its place in the word."""
     data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.int64)
@@ -59,18 +55,37 @@ def gram_codes(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """word, toxic, plain, whole: rows of each class and of the corpus that hold it, combined before the shuffle.
+    """word, toxic, plain, whole: how often the rows of each class and the corpus have it.
 
-    classes: doc_id, toxic (0 or 1); a row for each counted training document.
+    classes: doc_id, toxic (0 or 1), a bounded number of counted training documents; they are sent to the tasks, so texts
+    stay where they are. Words are counted in each slice before they leave the task.
     """
-    d = docs.select("doc_id", "text").join(classes, "doc_id", "left")
-    w = d.select("toxic", F.explode(words_of(F.col("text"))).alias("word"))
-    return written(
-        w.groupBy("word").agg(
-            F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("plain"),
-            F.count("*").alias("whole"),
-        ), "words",
-    )
+    marks = classes.toPandas().sort_values("doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast((marks["doc_id"].to_numpy(np.int64), marks["toxic"].to_numpy(np.int64)))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic = sent.value
+        for b in it:
+            doc_id = b.column(0).fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, doc_id), max(0, len(ids) - 1))
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False) & (ids[at] == doc_id if len(ids) else False)
+            kind = np.where(known, toxic[at] if len(ids) else 0, 2)
+            for lo, hi, data, offsets in slices(b.column(1), COUNTED_BYTES):
+                w = Words(data, offsets)
+                _, first, inverse, whole = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                if not len(first):
+                    continue
+                of = kind[lo:hi][w.doc]
+                each = [np.bincount(inverse[of == k], minlength=len(first)) for k in (1, 0)]
+                low = data.tobytes().lower()  # bytes.lower() changes A-Z only
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([low[w.start[i] : w.end[i]] for i in first], pa.binary()).cast(pa.string()), *(pa.array(x.astype(np.int64)) for x in (*each, whole))],
+                    names=["word", *CLASSES, "whole"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = rows.mapInArrow(batches, "word string, toxic long, plain long, whole long")
+    return written(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*CLASSES, "whole")]), "words")
 
 
 def gram_table(words: DataFrame) -> DataFrame:
@@ -197,6 +212,34 @@ class Model:
         return np.stack([np.bincount(word, logs[:, j], len(words)) for j in range(2)], axis=1)
 
 
+class KnownWords:
+    """Log-likelihoods of the words a task has met, by word hash; forgotten when there are more than `most`."""
+
+    def __init__(self, model: Model, most: int = 1 << 20):
+        self.model, self.most = model, most
+        self.place: dict[int, int] = {}
+        self.logs = np.zeros((1 << 14, 2))
+
+    def of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """hashes x 2, for different words with their bytes' begins and ends in `data`."""
+        names = hashes.tolist()
+        if len(self.place) + len(names) > self.most:
+            self.place = {}
+        at = np.fromiter((self.place.get(h, -1) for h in names), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            low = data.tobytes().lower()  # bytes.lower() changes A-Z only
+            words = [low[start[i] : end[i]] for i in new]
+            base = len(self.place)
+            while base + len(new) > len(self.logs):
+                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+            for k in range(0, len(words), 20_000):
+                self.logs[base + k : base + min(k + 20_000, len(words))] = self.model.word_logs(words[k : k + 20_000])
+            at[new] = base + np.arange(len(new))
+            self.place.update(zip(hashes[new].tolist(), at[new].tolist(), strict=True))
+        return self.logs[at]
+
+
 def largest(values: np.ndarray, words: Words, texts: int) -> np.ndarray:
     """The largest value of each text's words; 0 without words."""
     out = np.zeros(texts)
@@ -215,16 +258,12 @@ def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        known = KnownWords(sent.value)
         for b in it:
             for lo, hi, data, at in slices(b.column(1), SLICE_BYTES):
                 w = Words(data, at)
-                _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-                low = data.tobytes().lower()  # bytes.lower() changes A-Z only
-                kinds = [low[w.start[i] : w.end[i]] for i in first]
-                logs = np.zeros((len(kinds), 2))
-                for k in range(0, len(kinds), 20_000):
-                    logs[k : k + 20_000] = m.word_logs(kinds[k : k + 20_000])
+                different, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+                logs = known.of(different, data, w.start[first], w.end[first])
                 n = hi - lo
                 ll = [np.bincount(w.doc, logs[inverse, j], n) for j in range(2)]
                 size = np.bincount(w.doc, (w.end - w.start + 1).astype(float), n)
@@ -266,11 +305,12 @@ def contrast() -> list[Column]:
     return [per_byte * 10, per_byte * root, F.log1p("n_words"), F.col("peak"), F.col("passage"), F.log1p("excess")]
 
 
-def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_000, counted: int = 200_000) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5), n_words, for every row of docs.
 
     labelled: doc_id, toxic (0 or 1); other values and null keys are left out, and of a repeated key one row counts, the
-    toxic one. A quarter of its rows, by a hash of the id, sets the curve, the rest the counts. Null and empty texts get
+    toxic one. A quarter of its rows, by a hash of the id, sets the curve, the rest the class counts (at most `counted` rows,
+    those with the smallest hash; the corpus counts are those of all rows of docs). Null and empty texts get
     the curve's value for no evidence. Without labels, or with one class only, every score is the share of toxic labels
     (0 without labels). Repeated rows get equal scores. Empty table: no rows.
     """
@@ -279,7 +319,8 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_00
     )
     late = F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(4)) == 0
     marks = written(marks.withColumn("late", late), "marks")
-    model = Model(gram_table(word_table(docs, marks.where("NOT late").select("doc_id", "toxic"))))
+    early = marks.where("NOT late").orderBy(F.xxhash64("doc_id"), "doc_id").limit(counted).select("doc_id", "toxic")
+    model = Model(gram_table(word_table(docs, early)))
     ll = written(log_likelihoods(docs, model), "likelihoods")
     features = contrast()
     rows = ll.join(marks.where("late"), "doc_id").select(
