@@ -58,7 +58,14 @@ def _complete(bars: DataFrame) -> DataFrame:
     return bars.withColumns(missing) if missing else bars
 
 
-def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | None = None) -> DataFrame:
+def position_closes(bars: DataFrame, slots: DataFrame) -> DataFrame:
+    """The narrow rows that the averages scan: symbol, pos, close, prev_close."""
+    return with_prev_close(with_positions(bars.select(*SLOT_KEYS, "ts", "close"), slots, "slot_prev_close"))
+
+
+def _with_bar_features(
+    bars: DataFrame, fc: FeatureConfig, marks: DataFrame | None = None, begun: DataFrame | None = None
+) -> DataFrame:
     """Bars with positions and every column the enabled groups' final stage reads.
 
     `marks` (symbol, ts, label) are attached to the bars, and only marked rows with a close are returned; side tables are
@@ -85,8 +92,8 @@ def _with_bar_features(bars: DataFrame, fc: FeatureConfig, marks: DataFrame | No
     if marks is not None:
         d = d.where(F.col("label").isNotNull() & F.col("close").isNotNull())
     if fc.technical_indicators:
-        closes = with_prev_close(with_positions(bars.select(*SLOT_KEYS, "ts", "close"), slots, "slot_prev_close"))
-        d = technical.with_technical_columns(d, technical.technical_blocks(closes, fc, size), fc, size)
+        blocks = technical.technical_blocks(position_closes(bars, slots), fc, size, begun)
+        d = technical.with_technical_columns(d, blocks, fc, size)
     return d.drop("chunk") if chunked else d
 
 
@@ -122,10 +129,11 @@ def feature_matrix(
     *,
     index_bars: DataFrame | None = None,
     proxy_daily: DataFrame | None = None,
+    begun: DataFrame | None = None,
 ) -> DataFrame:
     """(symbol, entry_time, session_date, entry_pos, bars_forward, features..., y) of complete entries.
 
-    Labels without a bar at their time are dropped, as are entries before the longest warm-up of
+    `begun` are the states of averages whose series began before these bars (`technical.technical_state`). Labels without a bar at their time are dropped, as are entries before the longest warm-up of
     the enabled groups and entries with any null feature.
     """
     fc = cfg.features
@@ -143,7 +151,7 @@ def feature_matrix(
         marks = marks.withColumn("session_date", session_date("ts", cfg.exchange_timezone))
         marks = with_market_context(marks, index_bars, proxy_daily, fc)
         carried += market_columns(fc)
-    d = _with_bar_features(bars, fc, marks.select("symbol", "ts", F.struct(*carried).alias("label")))
+    d = _with_bar_features(bars, fc, marks.select("symbol", "ts", F.struct(*carried).alias("label")), begun)
     d = d.where(F.col("pos") >= warmup_bars(fc)).select("*", "label.*").drop("label")
     kept = [c for c in ("bars_forward",) if c in fields]
     final = {k: c for g in groups(fc).values() for k, c in g.final.items()}

@@ -116,23 +116,28 @@ def block_maps(rows: DataFrame, averages: list[Average], series: Series) -> Data
     return rows.groupBy("symbol", "chunk").applyInPandas(maps, f"{key_types(rows)}, run array<double>")
 
 
-def states(maps: DataFrame, averages: list[Average], name: str, *kept: str) -> DataFrame:
-    """(symbol, chunk, `kept`, `name`): the state of the averages before each block, from the maps `run` in order."""
+def states(maps: DataFrame, averages: list[Average], name: str, *kept: str, start: DataFrame | None = None) -> DataFrame:
+    """(symbol, chunk, `kept`, `name`): the state of the averages before each block, from the maps `run` in order.
+
+    `start` (symbol, start) holds the states before the first block of symbols whose series began earlier.
+    """
     alpha, count = alphas(averages), len(averages)
+    maps = maps.join(start, "symbol", "left") if start is not None else maps.withColumn("start", F.lit(None).cast("array<double>"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, now = None, np.zeros((STATE, count))
         for pdf in batches:
             out = []
-            for s, r in zip(pdf["symbol"], pdf["run"], strict=True):
+            for s, r, begun in zip(pdf["symbol"], pdf["run"], pdf["start"], strict=True):
                 if s != symbol:
-                    symbol, now = s, np.zeros((STATE, count))
+                    symbol, now = s, np.zeros((STATE, count)) if begun is None else np.asarray(begun, float).reshape(STATE, count)
                 out.append(now.ravel())
                 now = advanced(now, np.asarray(r, float).reshape(MAP, count), alpha)
-            yield pdf.drop(columns="run").assign(**{name: out})[["symbol", "chunk", *kept, name]]
+            yield pdf.drop(columns=["run", "start"]).assign(**{name: out})[["symbol", "chunk", *kept, name]]
 
     schema = ", ".join([key_types(maps), *[f"{c} {maps.schema[c].dataType.simpleString()}" for c in kept], f"{name} array<double>"])
-    return maps.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInPandas(walk, schema)
+    ordered = maps.select("symbol", "chunk", *kept, "run", "start").repartition("symbol").sortWithinPartitions("symbol", "chunk")
+    return ordered.mapInPandas(walk, schema)
 
 
 def state_before(block: pd.DataFrame, averages: list[Average], name: str) -> np.ndarray:

@@ -31,6 +31,7 @@ from barwright.sources import bars as bar_store
 from barwright.sources import runlog, tables
 from barwright.sources.journal import normalize_journal
 from barwright.sources.ticks import bars_from_ticks
+from barwright.streaming import scoring
 from barwright.streaming.bars import RECENT_SUFFIX, start_refresh, stream_bars, target_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -803,6 +804,21 @@ def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(out.drop("interval").select("symbol", "ts", "open", "high", "low", "close", "volume", "session_date"))
 
 
+LIVE_GROUPS = ("returns_multi_horizon", "realized_vol_multi", "range_vol_multi", "vwap_distance", "technical_indicators")
+
+
+def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows of every new bar over three batches, each from the state the batch before left."""
+    fc = replace(FEATURES, **{g: g in LIVE_GROUPS for g in FEATURE_GROUPS})
+    cfg, b, where = replace(CFG, features=fc), bars(spark, sf_dir), scratch(spark)
+    limits = [date(2024, 1, 1), date(2024, 1, 12), date(2024, 1, 22), date(2025, 1, 1)]
+    for n, (start, end) in enumerate(zip(limits, limits[1:])):
+        new = b.where((F.col("session_date") >= F.lit(start)) & (F.col("session_date") < F.lit(end)))
+        scoring.advance(spark, f"{where}/state", n, new, cfg, lambda rows: rows, f"{where}/scores")
+    scores = spark.read.parquet(*[f"{where}/scores/batch={n:012d}" for n in range(3)])
+    return show(scores.select("symbol", "entry_time", *feature_columns(fc)))
+
+
 QUERIES: dict[str, Query] = {
     **{n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")},
     **{f"feat_{g}": feature_query(g) for g in FEATURE_GROUPS},

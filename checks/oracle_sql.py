@@ -429,6 +429,7 @@ MATRIX_CTES = EMA_CTES + "," + MARKET_CTES + f""",
         FROM lab l JOIN fbar f ON f.symbol = l.symbol AND f.ts = l.entry_time
         JOIN tech t ON t.symbol = l.symbol AND t.ts = l.entry_time
         JOIN market m ON m.symbol = l.symbol AND m.ts = l.entry_time WHERE l.entry_pos >= {WARMUP}) WHERE {NOT_NULL})"""
+LIVE = " ".join(FEATURES[g] for g in ("returns_multi_horizon", "realized_vol_multi", "range_vol_multi", "vwap_distance")) + " " + TECH
 #: the matrix columns in the order of the groups
 MATRIX_ORDER = (
     "log_entry_close " + GEOMETRY + " " + " ".join(FEATURES[g] for g in (
@@ -587,6 +588,12 @@ SPEC: dict[str, tuple[str, str, str]] = {
     "feat_label_geometry": ("lab", "", pick("symbol, entry_time AS ts", GEOMETRY, "lab")),
     "feat_technical_indicators": ("fbase", EMA_CTES, pick("symbol, ts", TECH, "tech")),
     "feat_market_context": ("b daily", MARKET_CTES, pick("symbol, ts", MARKET, "market")),
+    "stream_scores": (
+        "fbar dvol", EMA_CTES,
+        pick("symbol, entry_time", LIVE, f"""(
+          SELECT f.symbol, f.ts AS entry_time, {', '.join(LIVE.split())} FROM fbar f JOIN tech t USING (symbol, ts) JOIN dvol d ON d.symbol = f.symbol AND d.session_date = f.session_date
+          WHERE f.pos >= {WARMUP} AND d.vol_5d_ann IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LIVE.split())})"""),
+    ),
     "feature_matrix": ("lab fbar daily", MATRIX_CTES, pick("symbol, entry_time, session_date, entry_pos, y", ALL_FEATURES, "matrix")),
     "split_balance": ("lab fbar daily", MATRIX_CTES, f"SELECT symbol, {SPLIT} AS split, y, count(*) AS n FROM matrix WHERE {IN_SPLIT} GROUP BY 1, 2, 3"),
     "known_class_rows": (
