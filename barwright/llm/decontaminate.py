@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.rows import text_key
 from barwright.llm.words import PLACE, U, Words, mix, slices
 
 THRESHOLD = 0.5
@@ -231,15 +232,15 @@ def passes(items: DataFrame, threshold: float) -> Iterator[Index]:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word: a row for each passage of a document that scores >= threshold.
+    """doc_id, text_key, item_id, score, first_word, last_word: a row for each passage of a document that scores >= threshold.
 
     Words count from 0. Null or empty texts and items match nothing. Repeated items with one id are aligned each, and the
     best score is kept. Repeated documents give a row each. Empty tables: no rows. `threshold` is above 0 and at most 1.
     """
     spark = docs.sparkSession
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, score double, first_word long, last_word long"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    schema = "doc_id long, text_key long, item_id long, score double, first_word long, last_word long"
 
     def found(index: Index) -> DataFrame:
         sent = spark.sparkContext.broadcast(index)
@@ -252,9 +253,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESH
                     if rows:
                         doc, item, score, first, last = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array([lo + d for d in doc])), pa.array(item, pa.int64()), pa.array(score, pa.float64()),
+                            [b.column(0).take(pa.array([lo + d for d in doc])), b.column(2).take(pa.array([lo + d for d in doc])), pa.array(item, pa.int64()), pa.array(score, pa.float64()),
                              pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                            names=["doc_id", "item_id", "score", "first_word", "last_word"],
+                            names=["doc_id", "text_key", "item_id", "score", "first_word", "last_word"],
                         )
 
         return docs.mapInArrow(batches, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.components import components
+from barwright.llm.rows import text_key
 from barwright.llm.tables import written
 from barwright.llm.words import U, Words, gram_sets, mix, signed, slices
 
@@ -50,7 +51,7 @@ def _names(name: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def scan(docs: DataFrame, gram: int) -> DataFrame:
-    """One row (doc_id, n, name) for each document and, for each task, rows (block, counts) of the sketch; written once."""
+    """One row (doc_id, text_key, n, name) for each document and, for each task, rows (block, counts) of the sketch; written once."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in it:
@@ -59,7 +60,7 @@ def scan(docs: DataFrame, gram: int) -> DataFrame:
                 counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 n = np.bincount(doc, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n), _names(_set_name(h, doc, hi - lo), n),
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), _names(_set_name(h, doc, hi - lo), n),
                      pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names,
                 )
         filled = [k for k in range(0, len(counts), BLOCK) if counts[k : k + BLOCK].any()]
@@ -67,13 +68,13 @@ def scan(docs: DataFrame, gram: int) -> DataFrame:
             blobs = [zlib.compress(counts[k : k + BLOCK].tobytes(), 1) for k in filled]
             m = len(filled)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                [*[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.binary()),
                  pa.array([k // BLOCK for k in filled], pa.int32()), pa.array(blobs, pa.binary())], names=names,
             )
 
-    names = ["doc_id", "n", "name", "block", "counts"]
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(d.mapInArrow(batches, "doc_id long, n long, name binary, block int, counts binary"), "scan")
+    names = ["doc_id", "text_key", "n", "name", "block", "counts"]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    return written(d.mapInArrow(batches, "doc_id long, text_key long, n long, name binary, block int, counts binary"), "scan")
 
 
 def sketch(scanned: DataFrame) -> np.ndarray:
@@ -370,10 +371,11 @@ def similar(left: pa.Array, right: pa.Array, gram: int, percent: int) -> np.ndar
 
 
 def similar_components(docs: DataFrame, *, gram: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text; others are ignored).
+    """doc_id, text_key, n_shingles, component_id, component_key for every row of docs (columns doc_id, text; others are ignored).
 
     Two texts are linked when they share at least `percent` in a hundred of the union of their sets of `gram`-word
-    n-grams; component_id is the smallest doc_id reachable. A text with fewer words has one n-gram, all its words. Null
+    n-grams; component_id is the smallest doc_id reachable, and component_key names the component itself: two of them have
+    one component_id where a repeated doc_id has texts in both. A text with fewer words has one n-gram, all its words. Null
     text, and text without words, has none and is linked with nothing. A repeated doc_id keeps a row for each. Empty
     table: no rows.
     """
@@ -393,13 +395,15 @@ def similar_components(docs: DataFrame, *, gram: int = 5, percent: int = 80) ->
         roots = written(components(links), "roots")
     counts.unpersist()
 
-    each = scanned.where("block IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "name")
+    each = scanned.where("block IS NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "name")
     least = each.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"))
     linked = nodes.select("node", "name").join(roots, "node").join(least, "name")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = linked.join(smallest, "root").select("name", "smallest")
-    ids = least.join(linked, "name", "left").select("name", F.coalesce("smallest", "least").alias("component"))
-    named = each.where("name IS NOT NULL").join(ids, "name").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked = linked.join(smallest, "root").select("name", "smallest", F.concat(F.lit("r"), F.col("root").cast("string")).alias("key"))
+    ids = least.join(linked, "name", "left").select(
+        "name", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("key", F.hex("name")).alias("component_key")
+    )
+    named = each.where("name IS NOT NULL").join(ids, "name").select("doc_id", "text_key", "n_shingles", "component_id", "component_key")
     # texts without words need no join, so their rows never gather
-    bare = each.where("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    bare = each.where("name IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("component_key"))
     return named.unionByName(bare)

@@ -20,7 +20,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(read(spark, sf_dir, "documents"), gram=4, percent=85)
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"), gram=4, percent=85).drop("text_key", "component_key")
 
 
 def held_out(parts: int, kept: int) -> Column:
@@ -35,7 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

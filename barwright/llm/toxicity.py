@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.rows import text_key
 from barwright.llm.tables import written
 from barwright.llm.words import SLICE_BYTES, U, Words, mix, slices
 
@@ -250,7 +251,7 @@ def largest(values: np.ndarray, words: Words, texts: int) -> np.ndarray:
 
 
 def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and LIKELIHOODS for every row; no shuffle.
+    """doc_id, text_key and LIKELIHOODS for every row; no shuffle.
 
     peak and passage: the largest difference of a word, and of PASSAGE words in a row (or all, if fewer); excess: the sum
     of what the differences of single words exceed MARGIN by.
@@ -274,11 +275,12 @@ def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
                 excess = np.bincount(w.doc, np.maximum(more - MARGIN, 0.0), n)
                 columns = (*ll, size, w.count.astype(float), largest(more, w, n), largest(run, w, n), excess)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), *(pa.array(x) for x in columns)], names=["doc_id", *LIKELIHOODS]
+                    [b.column(0).slice(lo, n), b.column(2).slice(lo, n), *(pa.array(x) for x in columns)],
+                    names=["doc_id", "text_key", *LIKELIHOODS],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        batches, ", ".join(["doc_id long", *(f"{c} double" for c in LIKELIHOODS)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key")).mapInArrow(
+        batches, ", ".join(["doc_id long", "text_key long", *(f"{c} double" for c in LIKELIHOODS)])
     )
 
 
@@ -306,7 +308,7 @@ def contrast() -> list[Column]:
 
 
 def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_000, counted: int = 200_000) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (score >= 0.5), n_words, for every row of docs.
+    """doc_id, text_key, score (0 to 1), predicted (score >= 0.5), n_words, for every row of docs.
 
     labelled: doc_id, toxic (0 or 1); other values and null keys are left out, and of a repeated key one row counts, the
     toxic one. A quarter of its rows, by a hash of the id, sets the curve, the rest the class counts (at most `counted` rows,
@@ -336,5 +338,5 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, *, sample: int = 20_00
         for v, f in zip(w[1:], features, strict=True):
             total = total + F.lit(float(v)) * f
         z = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
-    out = ll.select("doc_id", z.cast("double").alias("score"), F.col("n_words").cast("long").alias("n_words"))
-    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")
+    out = ll.select("doc_id", "text_key", z.cast("double").alias("score"), F.col("n_words").cast("long").alias("n_words"))
+    return out.select("doc_id", "text_key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")

@@ -1,7 +1,8 @@
 """A corpus pipeline over the text operators: each stage takes and returns documents, the last one their shards.
 
-Keys are doc_ids: a decision about a doc_id holds for all rows with it. Rows with a null doc_id pass the filters. Null and
-empty texts are kept by the filters unless the toxicity curve rejects them. Empty table: no rows.
+Decisions name a row by its doc_id and a hash of its text (`llm.rows`): rows that share a doc_id are judged apart, and a row
+with a null doc_id is judged like any other. Of rows equal in both, one stays if any does. Null and empty texts are
+kept by the filters unless the toxicity curve rejects them. Documents may have any further columns. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -13,39 +14,48 @@ from pyspark.sql import functions as F
 
 from barwright.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from barwright.llm.queries import TARGETS, quality_domains
+from barwright.llm.rows import KEY, may_be, named, same_row, without
 from barwright.llm.tables import read, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the two language models find toxic."""
+    """Drops the rows that the two language models find toxic."""
     scores = toxicity.toxicity_scores(docs, read(spark, sf_dir, "labels"))
-    return docs.join(scores.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(scores.where("predicted = 1").select(*KEY), "toxic"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of similar ones, and one row of rows repeated as a whole."""
-    groups = written(ngram_join.similar_components(docs).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.select(docs.columns).unionByName(several.select(docs.columns))
+    """Keeps one row of each group of similar documents: the smallest doc_id, of several texts the smallest hash.
+
+    Rows without words are similar to nothing; of rows that repeat doc_id and text, one stays.
+    """
+    rows = written(ngram_join.similar_components(docs).select(*KEY, "component_id", "component_key"), "groups")
+    grouped = rows.where("component_key IS NOT NULL AND doc_id IS NOT NULL")
+    first = grouped.where("doc_id = component_id").groupBy("component_key").agg(F.min("text_key").alias("kept_key"))
+    gone = grouped.join(first, "component_key").where("doc_id <> component_id OR text_key <> kept_key").select(*KEY)
+    kept = without(docs, gone)
+    repeated = written(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
+    others, maybe = may_be(kept, repeated)
+    d, back = named(maybe)
+    return others.unionByName(d.dropDuplicates(KEY).select(*back))
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents with a passage that aligns with a benchmark item."""
+    """Drops the rows with a passage that aligns with a benchmark item."""
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(found.select(*KEY), "leaked"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as its rate says, at least once: no document is dropped to meet the targets."""
+    """Repeats each row as often as its rate says, at least once: no row is dropped to meet the targets."""
     labelled = quality_domains(docs, read(spark, sf_dir, "labels"))
-    copies = mixing.mixed(docs, labelled, TARGETS, floor=1.0).select(F.col("doc_id").alias("id"), "text_key", "copies").distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]) & (key == copies["text_key"]))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select([docs[c] for c in docs.columns])
+    rates = mixing.mixed(docs, labelled, TARGETS, floor=1.0).where("copies <> 1")
+    more = written(rates.select(*KEY, F.col("copies").alias("times")).distinct(), "more")
+    others, maybe = may_be(docs, more)
+    d, back = named(maybe)
+    times = F.coalesce(more["times"], F.lit(1))
+    repeated = d.join(more, same_row(d, more), "left").select(d["row"], F.explode(F.sequence(F.lit(1), times)).alias("time"))
+    return others.unionByName(repeated.select(*back))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
