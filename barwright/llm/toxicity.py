@@ -32,8 +32,6 @@ ORDER, SHARED, DISCOUNT = 6, 3, 0.75
 SPACE = 32
 CLASSES = ("toxic", "plain")
 PASSAGE = 8
-#: bytes of text whose words are counted together in a task
-COUNTED_BYTES = 1 << 23
 #: a word counts as toxic by so much in log-likelihood
 MARGIN = 2.0
 LIKELIHOODS = ["toxic_ll", "plain_ll", "n_bytes", "n_words", "peak", "passage", "excess"]
@@ -71,7 +69,7 @@ def word_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, doc_id), max(0, len(ids) - 1))
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False) & (ids[at] == doc_id if len(ids) else False)
             kind = np.where(known, toxic[at] if len(ids) else 0, 2)
-            for lo, hi, data, offsets in slices(b.column(1), COUNTED_BYTES):
+            for lo, hi, data, offsets in slices(b.column(1), SLICE_BYTES):
                 w = Words(data, offsets)
                 _, first, inverse, whole = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
                 if not len(first):
@@ -216,7 +214,7 @@ class Model:
 class KnownWords:
     """Log-likelihoods of the words a task has met, by word hash; forgotten when there are more than `most`."""
 
-    def __init__(self, model: Model, most: int = 1 << 20):
+    def __init__(self, model: Model, most: int = 1 << 18):
         self.model, self.most = model, most
         self.place: dict[int, int] = {}
         self.logs = np.zeros((1 << 14, 2))
