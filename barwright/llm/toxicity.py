@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from barwright.llm.rows import text_key
 from barwright.llm.tables import written
-from barwright.llm.words import SLICE_BYTES, U, Words, mix, slices
+from barwright.llm.words import U, Words, mix, slices
 
 ORDER, SHARED, DISCOUNT = 6, 3, 0.75
 SPACE = 32
 CLASSES = ("toxic", "plain")
 PASSAGE = 8
+#: bytes of text worked on at a time in a task, beside the model's tables
+SLICE = 1 << 20
 #: a word counts as toxic by so much in log-likelihood
 MARGIN = 2.0
 LIKELIHOODS = ["toxic_ll", "plain_ll", "n_bytes", "n_words", "peak", "passage", "excess"]
@@ -69,7 +71,7 @@ def word_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, doc_id), max(0, len(ids) - 1))
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False) & (ids[at] == doc_id if len(ids) else False)
             kind = np.where(known, toxic[at] if len(ids) else 0, 2)
-            for lo, hi, data, offsets in slices(b.column(1), SLICE_BYTES):
+            for lo, hi, data, offsets in slices(b.column(1), SLICE):
                 w = Words(data, offsets)
                 _, first, inverse, whole = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
                 if not len(first):
@@ -212,31 +214,30 @@ class Model:
 
 
 class KnownWords:
-    """Log-likelihoods of the words a task has met, by word hash; forgotten when there are more than `most`."""
+    """Log-likelihoods of the words a task has met, ordered by word hash; forgotten when there are more than `most`."""
 
     def __init__(self, model: Model, most: int = 1 << 18):
         self.model, self.most = model, most
-        self.place: dict[int, int] = {}
-        self.logs = np.zeros((1 << 14, 2))
+        self.hashes, self.logs = np.zeros(0, U), np.zeros((0, 2))
 
     def of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """hashes x 2, for different words with their bytes' begins and ends in `data`."""
-        names = hashes.tolist()
-        if len(self.place) + len(names) > self.most:
-            self.place = {}
-        at = np.fromiter((self.place.get(h, -1) for h in names), np.int64, len(names))
-        new = np.flatnonzero(at < 0)
+        """hashes x 2, for different words in the order of their hashes, with their bytes' begins and ends in `data`."""
+        if len(self.hashes) + len(hashes) > self.most:
+            self.hashes, self.logs = self.hashes[:0], self.logs[:0]
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(at < len(self.hashes))
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        out = np.zeros((len(hashes), 2))
+        out[known] = self.logs[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
             low = data.tobytes().lower()  # bytes.lower() changes A-Z only
-            words = [low[start[i] : end[i]] for i in new]
-            base = len(self.place)
-            while base + len(new) > len(self.logs):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            for k in range(0, len(words), 20_000):
-                self.logs[base + k : base + min(k + 20_000, len(words))] = self.model.word_logs(words[k : k + 20_000])
-            at[new] = base + np.arange(len(new))
-            self.place.update(zip(hashes[new].tolist(), at[new].tolist(), strict=True))
-        return self.logs[at]
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                out[part] = self.model.word_logs([low[start[i] : end[i]] for i in part])
+            self.hashes, self.logs = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.logs, at[new], out[new], axis=0)
+        return out
 
 
 def largest(values: np.ndarray, words: Words, texts: int) -> np.ndarray:
@@ -259,7 +260,7 @@ def log_likelihoods(docs: DataFrame, model: Model) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = KnownWords(sent.value)
         for b in it:
-            for lo, hi, data, at in slices(b.column(1), SLICE_BYTES):
+            for lo, hi, data, at in slices(b.column(1), SLICE):
                 w = Words(data, at)
                 different, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
                 logs = known.of(different, data, w.start[first], w.end[first])
