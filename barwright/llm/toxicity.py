@@ -33,7 +33,7 @@ SPACE = 32
 CLASSES = ("toxic", "plain")
 PASSAGE = 8
 #: bytes of text worked on at a time in a task, beside the model's tables
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: a word counts as toxic by so much in log-likelihood
 MARGIN = 2.0
 LIKELIHOODS = ["toxic_ll", "plain_ll", "n_bytes", "n_words", "peak", "passage", "excess"]
@@ -216,7 +216,7 @@ class Model:
 class KnownWords:
     """Log-likelihoods of the words a task has met, ordered by word hash; forgotten when there are more than `most`."""
 
-    def __init__(self, model: Model, most: int = 1 << 18):
+    def __init__(self, model: Model, most: int = 1 << 17):
         self.model, self.most = model, most
         self.hashes, self.logs = np.zeros(0, U), np.zeros((0, 2))
 
