@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
-from barwright.functions.expr import EPS, clip_lower, div, ln_ratio
+from barwright.functions.expr import EPS, clip_lower, ln_ratio, ratio
 from barwright.operators.features.group import Group, back
 from barwright.operators.positions import drop_halo, with_halo, with_positions
 
@@ -23,7 +23,7 @@ def index_returns(index_bars: DataFrame, bars_back: int) -> DataFrame:
 def proxy_change(proxy_daily: DataFrame) -> DataFrame:
     """(session_date, vix_chg_1d): the previous session's change, from daily closes of one proxy."""
     w = Window.partitionBy("symbol").orderBy("session_date")
-    change = div(F.lag("close", 1).over(w), F.lag("close", 2).over(w)) - 1.0
+    change = ratio(F.lag("close", 1).over(w), F.lag("close", 2).over(w)) - 1.0
     return proxy_daily.select("session_date", change.alias("vix_chg_1d"))
 
 
