@@ -1,7 +1,7 @@
 """What a feature group contributes to the plan.
 
 Spark evaluates a window over a window only in separate projections, so a group names its
-columns by stage: `base` may use lags, `frames` summarises base columns over trailing rows,
+columns by stage: `lags` are plain lags, `base` may use both, `frames` summarises base columns over trailing rows,
 `final` is plain row arithmetic. All groups share one projection per stage, hence one sort.
 """
 
@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
+from barwright.functions.expr import full, trailing
 
 CHUNK_KEYS = ["symbol", "chunk"]
+#: longest frame (rows) that is read row by row
+SHORT = 16
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,7 @@ def median_of(column: str, rows: int) -> Frame:
 @dataclass(frozen=True)
 class Group:
     final: dict[str, Column]
+    lags: dict[str, Column] = field(default_factory=dict)
     base: dict[str, Column] = field(default_factory=dict)
     frames: dict[str, Frame] = field(default_factory=dict)
     #: rows before the current one that any chained frame of the group can reach
@@ -66,11 +70,11 @@ def with_frames(d: DataFrame, frames: dict[str, Frame]) -> DataFrame:
     Means and deviations come from two stacks: positions are cut into tiles as long as the frame, so a frame is the rest
     of one tile, from its first row on, and the begin of the next. Both parts are running (count, mean, squared
     deviation) and merge into those of the frame. A row costs the same for any length, nothing is subtracted, and no
-    value outside the frame takes part. Medians need the frame's values.
+    value outside the frame takes part. Medians need the frame's values; short frames are plain windows.
     """
     moments: dict[int, dict[str, bool]] = {}
     for f in frames.values():
-        if f.kind != "median":
+        if f.kind != "median" and f.rows > SHORT:
             spread = moments.setdefault(f.rows, {})
             spread[f.column] = spread.get(f.column, False) or f.kind == "deviation"
     tiles = {f"_tile{n}": F.floor(F.col("pos") / n) for n in moments}
@@ -108,4 +112,11 @@ def with_frames(d: DataFrame, frames: dict[str, Frame]) -> DataFrame:
         seen = F.sort_array(F.collect_list(f.column).over(w))
         return F.when(F.size(seen) == n, (F.get(seen, F.lit((n - 1) // 2)) + F.get(seen, F.lit(n // 2))) / 2.0)
 
-    return d.withColumns({k: median(f) if f.kind == "median" else moment(f) for k, f in frames.items()}).drop(*made)
+    def short(f: Frame) -> Column:
+        agg = F.avg(f.column) if f.kind == "mean" else F.stddev_samp(f.column)
+        return full(agg, f.column, trailing(CHUNK_KEYS, "pos", f.rows), f.rows)
+
+    def of(f: Frame) -> Column:
+        return median(f) if f.kind == "median" else short(f) if f.rows <= SHORT else moment(f)
+
+    return d.withColumns({k: of(f) for k, f in frames.items()}).drop(*made)

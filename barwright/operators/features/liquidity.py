@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
-from barwright.functions.expr import EPS, clip_lower, div, ln_ratio
+from barwright.functions.expr import EPS, clip_lower, div, ln, ln_ratio
 from barwright.operators.features.group import Group, back, mean_of, median_of
 
 CS_K = 3.0 - 2.0 * math.sqrt(2.0)
@@ -24,18 +24,21 @@ def _corwin_schultz(beta: Column, gamma: Column) -> Column:
 def order_flow_proxies(fc: FeatureConfig) -> Group:
     w, wa = fc.roll_window_bars, fc.amihud_window_bars
     low = clip_lower("low", EPS)
-    sq = F.pow(F.ln(div("high", low)), 2)
-    prev_sq = F.pow(F.ln(div(back("high", 1), clip_lower(back("low", 1), EPS))), 2)
-    has_prev = back("high", 1).isNotNull() & back("low", 1).isNotNull()
-    two_low = F.least(low, clip_lower(back("low", 1), EPS))
-    two_range = F.when(has_prev, F.ln(div(F.greatest(F.col("high"), back("high", 1)), two_low)))
-    ret, prev_ret = ln_ratio("close", back("close", 1)), ln_ratio(back("close", 1), back("close", 2))
+    prev_low = clip_lower("_prev_low", EPS)
+    sq, prev_sq = F.pow(ln(div("high", low)), 2), F.pow(ln(div("_prev_high", prev_low)), 2)
+    has_prev = F.col("_prev_high").isNotNull() & F.col("_prev_low").isNotNull()
+    two_range = F.when(has_prev, ln(div(F.greatest("high", "_prev_high"), F.least(low, prev_low))))
+    ret, prev_ret = ln_ratio("close", "_prev_close"), ln_ratio("_prev_close", "_prev_close_2")
     dollars = F.col("close") * F.col("volume")
 
     span = clip_lower(F.col("high") - F.col("low"), EPS)
     covariance = F.col("_r_lag_mean") - F.col("_r_mean") * F.col("_lag_mean")
     rel_vol = div("volume", clip_lower("_flow_vol_med", EPS))
     return Group(
+        lags={
+            "_prev_close": back("close", 1), "_prev_close_2": back("close", 2),
+            "_prev_high": back("high", 1), "_prev_low": back("low", 1),
+        },
         base={
             "_cs_beta": sq + prev_sq,
             "_cs_gamma": F.pow(two_range, 2),
@@ -54,7 +57,8 @@ def order_flow_proxies(fc: FeatureConfig) -> Group:
         },
         final={
             "corwin_schultz_spread": _corwin_schultz(F.col("_cs_beta_mean"), F.col("_cs_gamma")),
-            "roll_implied_spread": 2.0 * F.sqrt(clip_lower(-covariance, 0.0)),
+            # an infinite return has no covariance: 0 * inf is NaN
+            "roll_implied_spread": 2.0 * F.sqrt(clip_lower(-covariance, 0.0)) + 0.0 * F.col("_r_lag_mean"),
             "amihud_illiq": F.col("_illiq_mean"),
             "signed_volume_proxy": div(F.col("close") - F.col("open"), span) * rel_vol,
             "upper_wick_pct": div(F.col("high") - F.greatest("open", "close"), span),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from barwright.config import FeatureConfig
-from barwright.functions.expr import EPS, clip_lower, div, ln_ratio
+from barwright.functions.expr import EPS, clip_lower, div, ln, ln_ratio
 from barwright.operators.features.group import Group, back, deviation_of, mean_of, median_of
 
 PARKINSON_SCALE = 1.0 / (4.0 * math.log(2.0))
@@ -30,7 +30,8 @@ def realized_vol_multi(fc: FeatureConfig) -> Group:
         short, long = ws[0], ws[-1]
         final[f"rv_ratio_{short}_{long}m"] = div(f"_rv_{short}", clip_lower(f"_rv_{long}", EPS))
     return Group(
-        base={"_ret": ln_ratio("close", back("close", 1))},
+        lags={"_prev_close": back("close", 1)},
+        base={"_ret": ln_ratio("close", "_prev_close")},
         frames={f"_rv_{w}": deviation_of("_ret", w) for w in ws},
         final=final,
         reach=max(ws),
@@ -40,7 +41,7 @@ def realized_vol_multi(fc: FeatureConfig) -> Group:
 
 def range_vol_multi(fc: FeatureConfig) -> Group:
     w = fc.range_vol_window_bars
-    hl = F.ln(div("high", clip_lower("low", EPS)))
+    hl = ln(div("high", clip_lower("low", EPS)))
     prev = back("close", 1)
     base = {"_park": hl * hl * PARKINSON_SCALE}
     frames = {"_park_mean": mean_of("_park", w)}

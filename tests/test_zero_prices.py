@@ -43,6 +43,18 @@ def test_returns_to_and_from_zero_are_infinite(spark):
     assert got[30] == -np.inf and got[35] == np.inf and np.isfinite(got[31:35]).all()
 
 
+def test_order_flow_over_a_zero_price(spark):
+    pdf = zeroed(30)
+    got = table(spark, pdf, only("order_flow_proxies", roll_window_bars=10, amihud_window_bars=10))
+    assert np.isposinf(got["amihud_illiq"][40]) and np.isfinite(got["amihud_illiq"][41])
+    assert got["roll_implied_spread"][[30, 35, 41]].isna().all() and np.isfinite(got["roll_implied_spread"][42])
+
+
+def test_long_frames_over_a_zero_price(spark):
+    got = table(spark, zeroed(25), only("realized_vol_multi", "range_vol_multi", realized_vol_windows_bars=(10, 30), range_vol_window_bars=30))
+    assert np.isposinf(got["parkinson_30m"][29:55]).all() and np.isfinite(got["parkinson_30m"][55:]).all()
+
+
 def test_market_columns_over_a_zero_price(spark):
     proxy = spark.createDataFrame([("V", f"2024-01-0{i}", x) for i, x in enumerate([1.0, 0.0, 3.0, 4.0], 1)], "symbol string, session_date string, close double")
     got = {r[0]: r[1] for r in proxy_change(proxy).collect()}
@@ -69,7 +81,7 @@ def with_zeros(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", [
-    "feat_returns_multi_horizon", "label_issues", "feat_market_context", "daily_vol",
+    "feat_order_flow_proxies", "feat_returns_multi_horizon", "label_issues", "feat_market_context", "daily_vol",
 ])
 def test_queries_agree_with_their_sql(spark, with_zeros, name):
     got, _, _ = differences(spark, connect(with_zeros), with_zeros, catalog.QUERIES[name], ORACLES[name])
