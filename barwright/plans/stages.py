@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import Transformer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.functions.expr import finite
+
 #: what the meta model reads of a prediction (fixed values)
 META_COLUMNS = ("proba_stop_loss", "proba_take_profit", "proba_vertical", "max_proba")
 
@@ -18,6 +22,35 @@ def proba_column(cls: str) -> str:
     return "proba_" + "_".join(safe.split()).strip("_")
 
 
+class FiniteVector(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The columns as one vector of finite numbers; a null is an error.
+
+    Models cannot be fitted on infinities and NaN, which prices of zero lead to: an infinity counts as the largest or least
+    finite training value of its column, NaN as the middle one. Finite values pass unchanged.
+    """
+
+    least = Param(Params._dummy(), "least", "what stands for -inf, by column", TypeConverters.toListFloat)
+    middle = Param(Params._dummy(), "middle", "what stands for NaN, by column", TypeConverters.toListFloat)
+    most = Param(Params._dummy(), "most", "what stands for inf, by column", TypeConverters.toListFloat)
+
+    @classmethod
+    def of(cls, train: DataFrame, columns: list[str], output: str) -> FiniteVector:
+        """The stage with the bounds and medians of the train rows: one aggregate, three numbers a column."""
+        kinds = {"least": F.min, "middle": lambda c: F.percentile_approx(c, 0.5), "most": F.max}
+        got = train.agg(*[f(finite(F.col(f"`{c}`"))).alias(f"{k}{i}") for k, f in kinds.items() for i, c in enumerate(columns)]).first()
+        values = {k: [got[f"{k}{i}"] or 0.0 for i in range(len(columns))] for k in kinds}
+        return cls()._set(inputCols=columns, outputCol=output, **values)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        least, middle, most = (self.getOrDefault(k) for k in ("least", "middle", "most"))
+        inf, columns = float("inf"), {}
+        for i, name in enumerate(self.getInputCols()):
+            c = F.col(f"`{name}`").cast("double")
+            columns[f"_finite{i}"] = F.when(F.isnan(c), middle[i]).when(c == inf, most[i]).when(c == -inf, least[i]).otherwise(c)
+        assembler = VectorAssembler(inputCols=list(columns), outputCol=self.getOutputCol(), handleInvalid="error")
+        return assembler.transform(dataset.withColumns(columns)).drop(*columns)
+
+
 class ClassProbabilities(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """One probability per class, max_proba and y_pred, from one multinomial vector or one binary vector per class.
 

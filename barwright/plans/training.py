@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from barwright.config import ExperimentConfig
 from barwright.operators.evaluation import classification_report, f1_scores
 from barwright.operators.features import feature_columns, split_by_session
 from barwright.operators.weights import weight_summary, with_fit_weights
-from barwright.plans.stages import ClassProbabilities, proba_column
+from barwright.plans.stages import ClassProbabilities, FiniteVector, proba_column
 from barwright.session import cut_lineage
 
 PARALLEL_FITS = 3
@@ -138,8 +138,8 @@ def readiness(counts: dict[tuple[str, str], int], cfg: ExperimentConfig) -> dict
     }
 
 
-def _preparation(cfg: ExperimentConfig, features: list[str]) -> tuple[list[Any], str]:
-    stages: list[Any] = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error")]
+def _preparation(cfg: ExperimentConfig, train: DataFrame, features: list[str]) -> tuple[list[Any], str]:
+    stages: list[Any] = [FiniteVector.of(train, features, "_raw")]
     if cfg.scaler == "standard":
         stages.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True))
     elif cfg.scaler == "robust":
@@ -224,7 +224,7 @@ def weighted_rows(prepared: Prepared, cfg: ExperimentConfig) -> DataFrame:
 def fit(prepared: Prepared, cfg: ExperimentConfig) -> Model:
     """Fit on train rows only; scaling is fitted with the model."""
     train = weighted_rows(prepared, cfg)
-    stages, x = _preparation(cfg, prepared.features)
+    stages, x = _preparation(cfg, prepared.train, prepared.features)
     prep = Pipeline(stages=stages).fit(train)
     ready = prep.transform(train).select(x, "_label", "fit_weight").persist()
     try:

@@ -13,6 +13,7 @@ from barwright.operators import volatility as V
 from barwright.operators.features.market import proxy_change
 from barwright.operators.labels import label_issues
 from barwright.plans import catalog
+from barwright.plans.stages import FiniteVector
 from checks.compare import connect, differences
 from checks.oracle_sql import ORACLES
 from tests.helpers import bars_of, frame, session_times, walk
@@ -70,6 +71,17 @@ def test_sessions_that_close_at_zero_have_a_return(spark):
     assert label_issues(bars_of(spark, only_zero), ExperimentConfig(exchange_timezone="UTC", vol_lookback_trading_days=3)).count() == 0
 
 
+def test_vectors_are_finite(spark):
+    train = spark.createDataFrame([(1.0, np.inf), (5.0, 2.0), (9.0, np.nan)], "a double, b double")
+    stage = FiniteVector.of(train, ["a", "b"], "v")
+    rows = spark.createDataFrame([(np.inf, -np.inf), (-np.inf, np.nan), (np.nan, np.inf), (20.0, -3.0)], "a double, b double")
+    d = stage.transform(rows)
+    assert d.columns == ["a", "b", "v"]
+    assert [list(r["v"]) for r in d.collect()] == [[9.0, 2.0], [1.0, 2.0], [5.0, 2.0], [20.0, -3.0]]
+    with pytest.raises(Exception, match="(?i)null"):
+        stage.transform(spark.createDataFrame([(None, 1.0)], "a double, b double")).collect()
+
+
 @pytest.fixture(scope="module")
 def with_zeros(spark, tmp_path_factory):
     """The small tables with prices of zero, the last one of a user's session among them."""
