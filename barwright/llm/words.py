@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: odd multipliers, one for each place in an n-gram
 PLACE = np.array([(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3 + 0x2545F4914F6CDD1C * k) & (2**64 - 1) | 1 for k in range(64)], U)
 

@@ -8,6 +8,7 @@ kept by the filters unless the toxicity curve rejects them. Documents may have a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +48,17 @@ def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each row as often as its rate says, at least once: no row is dropped to meet the targets."""
+    """Repeats each row as often as its rate says, at least once: no row is dropped to meet the targets.
+
+    DataFrame functions only: the texts are joined with their numbers of copies, without the bitmap of `llm.rows`.
+    """
     labelled = quality_domains(docs, read(spark, sf_dir, "labels"))
     rates = mixing.mixed(docs, labelled, TARGETS, floor=1.0).where("copies <> 1")
     more = written(rates.select(*KEY, F.col("copies").alias("times")).distinct(), "more")
-    others, maybe = may_be(docs, more)
-    d, back = named(maybe)
+    d, back = named(docs)
     times = F.coalesce(more["times"], F.lit(1))
     repeated = d.join(more, same_row(d, more), "left").select(d["row"], F.explode(F.sequence(F.lit(1), times)).alias("time"))
-    return others.unionByName(repeated.select(*back))
+    return repeated.select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +66,24 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: rows of whole texts that go to a Python task at once; a task holds several such batches on both sides
+BATCH_ROWS = 1000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session whose batches for Python tasks are small; the setting stays, as plans run later."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", toxic), ("ngram_join", near_copies), ("decontamination", leaked), ("mixing", mix), ("sharding", shard),
+    (name, in_small_batches(stage)) for name, stage in (
+        ("toxicity", toxic), ("ngram_join", near_copies), ("decontamination", leaked), ("mixing", mix), ("sharding", shard),
+    )
 ]
 #: the toxicity stage and the mixing stage are models, which SQL cannot express
 ORACLE_SQL: str | None = None
