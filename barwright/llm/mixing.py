@@ -22,6 +22,7 @@ from barwright.llm.tables import written
 
 #: Substrings whose frequency tells languages and junk apart
 MARKS = ["é", "è", "ñ", "ó", "ü", "ä", "|", "!!", "%", "$", " the ", "th", "en", "os"]
+TEMPER = 0.25
 
 
 def count_of(text: Column, part: str) -> Column:
@@ -85,8 +86,18 @@ def fit_domains(stats: DataFrame, labelled: DataFrame, domains: list[str], small
     return DomainModel(domains, prior, mean, var)
 
 
-def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *, temper: float = 0.25) -> DataFrame:
-    """doc_id, text_key, tokens, p0..pk, for every row of docs, written once; text itself is not kept.
+def posteriors_of(d: DataFrame, model: DomainModel, kept: list[str], temper: float) -> DataFrame:
+    """Columns `kept` of d and p0..pk from its statistics `x`, row by row."""
+    names = [f"l{k}" for k in range(len(model.domains))]
+    d = d.select(*kept, *(p.alias(n) for p, n in zip(model.posteriors("x"), names, strict=True)))
+    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    d = d.select(*kept, *(F.exp((F.col(n) - top) * temper).alias(n) for n in names))
+    total = reduce(lambda a, b: a + b, (F.col(n) for n in names))
+    return d.select(*kept, *((F.col(n) / total).alias(f"p{k}") for k, n in enumerate(names)))
+
+
+def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *, temper: float = TEMPER) -> tuple[DataFrame, DomainModel]:
+    """doc_id, text_key, tokens, p0..pk, for every row of docs, written once, and the model; text itself is not kept.
 
     `temper` flattens the classifier's log odds, as statistics of one text are not independent.
     """
@@ -97,12 +108,7 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *,
         "statistics",
     )
     model = fit_domains(stats.select("doc_id", "x"), labelled, domains)
-    names = [f"l{k}" for k in range(len(domains))]
-    d = stats.select("doc_id", "text_key", "tokens", *(p.alias(n) for p, n in zip(model.posteriors("x"), names, strict=True)))
-    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    d = d.select("doc_id", "text_key", "tokens", *(F.exp((F.col(n) - top) * temper).alias(n) for n in names))
-    total = reduce(lambda a, b: a + b, (F.col(n) for n in names))
-    return written(d.select("doc_id", "text_key", "tokens", *((F.col(n) / total).alias(f"p{k}") for k, n in enumerate(names))), "posteriors")
+    return written(posteriors_of(stats, model, ["doc_id", "text_key", "tokens"], temper), "posteriors"), model
 
 
 def rate_column(steps: list[list[float]], floor: float) -> Column:
@@ -113,13 +119,25 @@ def rate_column(steps: list[list[float]], floor: float) -> Column:
     return r
 
 
+def rate_after(steps: list[list[float]], floor: float) -> Column:
+    """The rate after all steps from 1, as a loop over them: a row needs nothing but its posteriors."""
+    if not steps:
+        return F.lit(1.0)
+    table = F.array(*(F.array(*map(F.lit, s)) for s in steps))
+
+    def moved(rate: Column, step: Column) -> Column:
+        return F.greatest(F.lit(float(floor)), rate + reduce(lambda a, b: a + b, (F.col(f"p{k}") * step[k] for k in range(len(steps[0])))))
+
+    return F.aggregate(table, F.lit(1.0), moved)
+
+
 #: steps held as one expression before the rates are written; compiling longer ones costs more than writing
 HELD_STEPS = 4
 
 
 def with_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget: float | None = None, most: int = 40,
-               close: float = 1e-6) -> DataFrame:
-    """d with `rate`: expected domain totals are targets * budget, to a relative `close` or after `most` steps.
+               close: float = 1e-6) -> tuple[DataFrame, list[list[float]]]:
+    """d with `rate`, and the steps that led to it: expected domain totals are targets * budget, to a relative `close` or after `most` steps.
 
     targets are shares that add up to 1; budget is the wanted number of tokens: all there are by default, or the least
     with which no domain shrinks where floor is 1.
@@ -131,22 +149,24 @@ def with_rates(d: DataFrame, targets: list[float], *, floor: float = 0.0, budget
     size = d.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col(n)), F.lit(0.0)).alias(n) for n in names)).first()
     d = d.withColumn("rate", F.lit(1.0))
     if not sum(size):
-        return d
+        return d, []
     if budget is None:
         budget = max(s * share / t for s, t in zip(size, targets, strict=True)) if floor >= 1 else sum(size)
     want = [t / share * budget for t in targets]
-    steps: list[list[float]] = []
+    taken: list[list[float]] = []
+    steps: list[list[float]] = []  # those not yet in the column
     now = list(size)
     for _ in range(most):
         miss = [(w - n) / s if s > 0 else 0.0 for w, n, s in zip(want, now, size, strict=True)]
         if max(abs(m) * s / w for m, s, w in zip(miss, size, want, strict=True)) < close:
             break
+        taken.append(miss)
         steps.append(miss)
         if len(steps) == HELD_STEPS:
             d, steps = written(d.withColumn("rate", rate_column(steps, floor)), "rates"), []
         r = d.withColumn("rate", rate_column(steps, floor))
         now = list(r.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(n)) for n in names)).first())
-    return d.withColumn("rate", rate_column(steps, floor))
+    return d.withColumn("rate", rate_column(steps, floor)), taken
 
 
 def fraction_of(*key: Column) -> Column:
@@ -154,6 +174,12 @@ def fraction_of(*key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("rate"), *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def copies_of() -> Column:
+    """`rate` rounded up or down by a fixed number of the record."""
+    u = fraction_of(F.col("doc_id"), F.col("text_key"))
+    return (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+
+
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, floor: float = 0.0,
           budget: float | None = None) -> DataFrame:
     """doc_id, text_key, tokens, p0..pk (domains in the order of `targets`), rate, copies; a row for each row of docs.
@@ -162,7 +188,26 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, fl
     empty text: no tokens, which no total depends on. Without tokens at all every rate is 1. Repeated rows get the same
     rate. Empty table: no rows.
     """
-    d = with_posteriors(docs, labelled, list(targets))
-    d = with_rates(d, list(targets.values()), floor=floor, budget=budget)
-    u = fraction_of(F.col("doc_id"), F.col("text_key"))
-    return d.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    d, _ = with_posteriors(docs, labelled, list(targets))
+    d, _ = with_rates(d, list(targets.values()), floor=floor, budget=budget)
+    return d.withColumn("copies", copies_of())
+
+
+def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, floor: float = 0.0,
+             budget: float | None = None) -> DataFrame:
+    """The rows of docs, each as often as `mixed` has it in `copies`. No text is shuffled or written.
+
+    The model and the steps are a few hundred numbers, from which each row finds its rate where it is, by a second look at
+    its text.
+    """
+    posteriors, model = with_posteriors(docs, labelled, list(targets))
+    _, steps = with_rates(posteriors, list(targets.values()), floor=floor, budget=budget)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = ["row", "doc_id", "text_key"]  # docs may have columns of any name
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.xxhash64(text).alias("text_key"),
+        F.array(*statistics(text)).alias("x"),
+    )
+    d = posteriors_of(d, model, kept, TEMPER).select(*kept, rate_after(steps, floor).alias("rate"))
+    d = d.select("row", F.explode(F.array_repeat(F.lit(0), copies_of())).alias("time"))
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])

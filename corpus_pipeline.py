@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from barwright.llm.queries import TARGETS, quality_domains
-from barwright.llm.rows import KEY, may_be, named, same_row, without
+from barwright.llm.rows import KEY, may_be, named, without
 from barwright.llm.tables import read, written
 
 
@@ -50,15 +50,10 @@ def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as its rate says, at least once: no row is dropped to meet the targets.
 
-    DataFrame functions only: the texts are joined with their numbers of copies, without the bitmap of `llm.rows`.
+    DataFrame functions only, without a join: each row stays where it is.
     """
     labelled = quality_domains(docs, read(spark, sf_dir, "labels"))
-    rates = mixing.mixed(docs, labelled, TARGETS, floor=1.0).where("copies <> 1")
-    more = written(rates.select(*KEY, F.col("copies").alias("times")).distinct(), "more")
-    d, back = named(docs)
-    times = F.coalesce(more["times"], F.lit(1))
-    repeated = d.join(more, same_row(d, more), "left").select(d["row"], F.explode(F.sequence(F.lit(1), times)).alias("time"))
-    return repeated.select(*back)
+    return mixing.repeated(docs, labelled, TARGETS, floor=1.0)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
