@@ -39,10 +39,17 @@ LENGTH, PERIOD = 200, 133
 SMALL = 19
 #: bytes of texts that are worked on at once
 SLICE = 1 << 19
+#: bytes of rows that go to a Python task at once; a task holds several such batches on both sides
+BATCH_BYTES = 1 << 21
 #: A difference cover of the residues modulo PERIOD
 COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
 
 
+def small_batches(df: DataFrame) -> None:
+    """Long texts go to Python tasks in few rows at a time, short rows in many; the setting stays, as plans run later."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def free_shuffles(df: DataFrame) -> None:
     """Shuffle files go when the driver collects the plans that made them; it need not wait for memory to run short.
 
@@ -229,9 +236,11 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     Removes each byte covered by a string of `length` bytes (at least PERIOD) that also starts anywhere else. Null text
     counts as empty. Texts below `length` bytes lose nothing. Repeated rows are copies of each other. Empty table: no rows.
+    Sets `spark.sql.execution.arrow.maxBytesPerBatch` of the session.
     """
     if length < PERIOD:
         raise ValueError(f"length must be at least {PERIOD}")
+    small_batches(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("key", F.xxhash64("text"))
     long_ = d.where(F.octet_length("text") >= length)

@@ -72,3 +72,19 @@ def test_bundles_come_back_whole():
         want = {(n, k, p) for n, k, p in zip(name.tolist(), key.tolist(), place.tolist()) if n in set(part.column(0).to_pylist())}
         assert set(zip(names[row].tolist(), keys.tolist(), places.tolist())) == want and len(row) == len(want)
     assert pa.types.is_binary(b.column(3).type)
+
+
+def test_long_texts_go_to_tasks_in_small_batches(spark):
+    def sizes(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    long_ = 40_000
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.rpad(F.col("id").cast("string"), long_, "abc de ").alias("text"))
+    out = repeats.without_repeats(docs.limit(0))
+    seen = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert max(r["size"] for r in seen) <= repeats.BATCH_BYTES + 2 * long_ and sum(r["n"] for r in seen) == 200
+    assert out.count() == 0
+    spark.conf.unset(name)
