@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -290,17 +289,27 @@ def _pairs(a: list[np.ndarray], edges: np.ndarray, percent: int) -> Iterator[pa.
 FILTER_BITS = 1 << 26
 
 
+def filter_places(name: np.ndarray, bits: int) -> np.ndarray:
+    """The filter's bit for each 16-byte name, from its first four bytes, as in `filter_place`."""
+    return name.view(">u4")[:, 0].astype(np.int64) % bits
+
+
+def filter_place(name: Column, bits: int) -> Column:
+    return F.conv(F.hex(F.substring(name, 1, 4)), 16, 10).cast("long") % F.lit(bits)
+
+
 def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, gram: int) -> DataFrame:
-    """node, text for every node in a pair. Texts are looked at where they are; only those needed are shuffled."""
+    """node, text for every node in a pair. Texts are looked at where they are; only those needed leave the Python task."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "name"), "node")
     wanted = written(wanted, "wanted")
-    bit = F.pmod(F.xxhash64("name"), F.lit(FILTER_BITS)) + 1
+    size = FILTER_BITS
+    bit = filter_place(F.col("name"), size) + 1
     marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
     ).collect()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table = np.zeros(size // 8, np.uint8)
     for r in marks:
-        x = np.frombuffer(bytes(r.bits), np.uint8)
+        x = np.frombuffer(bytes(r.bits), np.uint8)[: len(table)]
         table[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(x)] = x
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -308,23 +317,20 @@ def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, gram: int) ->
         for b in it:
             for lo, hi, data, at in slices(b.column(0)):
                 h, doc = gram_sets(Words(data, at), gram)
-                n = np.bincount(doc, minlength=hi - lo)
-                some = np.flatnonzero(n)
                 name = _set_name(h, doc, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name[i].tobytes() for i in some], pa.binary()),
-                     b.column(0).slice(lo, hi - lo).take(pa.array(some))], names=["name", "text"],
-                )
-
-    named = docs.select("text").mapInArrow(batches, "name binary, text string")
-
-    @F.pandas_udf("boolean")
-    def passes(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
-
-    hit = named.where(passes(F.pmod(F.xxhash64("name"), F.lit(FILTER_BITS)))).dropDuplicates(["name"])
-    return written(wanted.join(hit, "name").select("node", "text"), "texts")
+                p = filter_places(name, size)
+                hit = (sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                some = np.flatnonzero(hit & (np.bincount(doc, minlength=hi - lo) > 0))
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name[i].tobytes() for i in some], pa.binary()),
+                         b.column(0).slice(lo, hi - lo).take(pa.array(some))], names=["name", "text"],
+                    )
+
+    hit = docs.select("text").mapInArrow(batches, "name binary, text string").dropDuplicates(["name"])
+    found = written(wanted.join(hit, "name").select("node", "text"), "texts")
+    sent.unpersist()
+    return found
 
 
 def verify(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:

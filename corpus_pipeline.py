@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from barwright.llm.queries import TARGETS, quality_domains
-from barwright.llm.rows import KEY, may_be, named, without
+from barwright.llm.rows import KEY, may_be, named, same_row, without
 from barwright.llm.tables import read, written
 
 
@@ -34,11 +34,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = rows.where("component_key IS NOT NULL AND doc_id IS NOT NULL")
     first = grouped.where("doc_id = component_id").groupBy("component_key").agg(F.min("text_key").alias("kept_key"))
     gone = grouped.join(first, "component_key").where("doc_id <> component_id OR text_key <> kept_key").select(*KEY)
-    kept = without(docs, gone)
+    gone = written(gone.distinct(), "gone")
     repeated = written(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
-    others, maybe = may_be(kept, repeated)
+    # one look at the texts for both: a second Python pass over the first would hold twice the workers
+    others, maybe = may_be(docs, gone.unionByName(repeated))
     d, back = named(maybe)
-    return others.unionByName(d.dropDuplicates(KEY).select(*back))
+    kept = d.join(gone, same_row(d, gone), "left_anti").dropDuplicates(KEY)
+    return others.unionByName(kept.select(*back))
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +63,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: rows of whole texts that go to a Python task at once; a task holds several such batches on both sides
-BATCH_ROWS = 1000
+#: rows and bytes of whole texts that go to a Python task at once; a task holds several such batches on both sides
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 21
 
 
 def in_small_batches(stage: Stage) -> Stage:
@@ -70,6 +72,7 @@ def in_small_batches(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run_stage
